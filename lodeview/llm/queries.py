@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, near, packing, quality, substring
+from . import chat, exact, html_text, mixing, near, packing, quality, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("group_id"))
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(_table(spark, sf_dir, "pages"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -56,7 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_near_dedup, op5_format_chats, op7_exact_dedup, op8_quality_ledger, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_near_dedup, op4_warc_archive, op5_format_chats, op6_main_text, op7_exact_dedup, op8_quality_ledger, op10_substring_dedup)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -82,6 +90,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT b.doc_id, b.size, t.source_size, t.target, (b.size * (t.repeats + CASE WHEN b.h < t.threshold THEN 1 ELSE 0 END))::BIGINT AS taken,
                b.source, (t.repeats + CASE WHEN b.h < t.threshold THEN 1 ELSE 0 END)::BIGINT AS copies
         FROM base b JOIN thr t ON b.source IS NOT DISTINCT FROM t.source""",
+    "op4_warc_archive": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS lead FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = lead THEN NULL ELSE lead END AS refers_to FROM m""",
     "op5_format_chats": r"""
         WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
                    SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
