@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, html_text, mixing, near, packing, quality, substring, warc
+from . import chat, exact, html_text, mixing, near, packing, quality, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +60,15 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_near_dedup, op4_warc_archive, op5_format_chats, op6_main_text, op7_exact_dedup, op8_quality_ledger, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_near_dedup, op4_warc_archive, op5_format_chats, op6_main_text, op7_exact_dedup, op8_quality_ledger, op9_toxicity, op10_substring_dedup)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORDS = r"[^\x20\x09-\x0D]+"
