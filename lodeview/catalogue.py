@@ -201,13 +201,14 @@ def fts_strict_then_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREFIXES = ("tha", "erin", "ver", "que", "mento")
 
 
-@_query(f"{_WITH}, w AS MATERIALIZED (SELECT source_id, concat(unnest({_WORDS_SQL}), '') AS token FROM blobs) " + " UNION ALL ".join(f"SELECT '{p}' AS prefix, count(DISTINCT source_id)::BIGINT AS n_texts, count(DISTINCT token)::BIGINT AS n_tokens FROM w WHERE starts_with(token, '{p}')" for p in _PREFIXES))
+@_query(f"{_WITH} " + " UNION ALL ".join(f"""SELECT '{p}' AS prefix, count(*) FILTER (n > 0)::BIGINT AS n_texts, sum(n)::BIGINT AS n_places
+    FROM (SELECT len(list_filter({_WORDS_SQL}, lambda w: starts_with(w, '{p}'))) AS n FROM blobs)""" for p in _PREFIXES))
 def prefix_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many prefixes in one job, through the inverted index."""
-    words = index.postings(corpus.blobs(spark, sf_dir)).select("source_id", "token").distinct()
+    words = index.postings(corpus.blobs(spark, sf_dir)).groupBy("source_id", "token").count().withColumn("h", F.substring("token", 1, 2))
     asked = spark.createDataFrame([(p, p[:2]) for p in _PREFIXES], "prefix string, head string")
-    hit = words.withColumn("h", F.substring("token", 1, 2)).join(asked, F.col("h") == F.col("head")).filter(F.startswith("token", "prefix"))
-    return hit.groupBy("prefix").agg(F.countDistinct("source_id").alias("n_texts"), F.countDistinct("token").alias("n_tokens"))
+    hit = words.join(asked, F.col("h") == F.col("head")).filter(F.startswith("token", "prefix"))
+    return hit.groupBy("prefix").agg(F.countDistinct("source_id").alias("n_texts"), F.sum("count").alias("n_places"))
 
 
 # -- scores ---------------------------------------------------------------------------------------------------
@@ -448,7 +449,7 @@ def dedupe_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""{_WITH}, u AS (SELECT * FROM ev WHERE kind = 'unlink'), a AS (SELECT * FROM ev WHERE kind = 'add'),
-    m AS (SELECT u.event_id AS ue, a.event_id AS ae, u.path AS old_path, a.path AS new_path, u.inode, epoch_ms(u.ts) AS gone, epoch_ms(a.ts) AS came FROM u JOIN a ON u.inode = a.inode AND epoch_ms(a.ts) BETWEEN epoch_ms(u.ts) AND epoch_ms(u.ts) + 3600000),
+    m AS (SELECT u.event_id AS ue, a.event_id AS ae, u.path AS old_path, a.path AS new_path, u.inode, (epoch_us(u.ts) // 1000) AS gone, (epoch_us(a.ts) // 1000) AS came FROM u JOIN a ON u.inode = a.inode AND (epoch_us(a.ts) // 1000) BETWEEN (epoch_us(u.ts) // 1000) AND (epoch_us(u.ts) // 1000) + 3600000),
     o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY ue ORDER BY came, ae) = 1)
     SELECT old_path, new_path, inode, ue, ae FROM o QUALIFY row_number() OVER (PARTITION BY ae ORDER BY gone DESC, ue DESC) = 1""")
 def rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,7 +463,7 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.agg(F.count(F.lit(1)).alias("n_files")).crossJoin(F.broadcast(texts.agg(F.count(F.lit(1)).alias("n_blobs"))))  # one row each
 
 
-@_query(f"""{_WITH}, e AS (SELECT *, epoch_ms(ts) AS ms FROM ev), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w > 3600000 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ms, event_id)),
+@_query(f"""{_WITH}, e AS (SELECT *, (epoch_us(ts) // 1000) AS ms FROM ev), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w > 3600000 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ms, event_id)),
     b AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ms, event_id) AS burst FROM g)
     SELECT path, burst::BIGINT AS burst, CASE WHEN arg_max(kind, struct_pack(ms := ms, e := event_id)) = 'unlink' THEN 'delete' ELSE 'upsert' END AS job, min(ms) AS first_ms, max(ms) AS last_ms, count(*)::BIGINT AS n_events FROM b GROUP BY path, burst""")
 def debounce_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
