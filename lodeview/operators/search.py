@@ -1,8 +1,10 @@
 """Ranked search: candidates, overlay of scores, reasons, and the best ten.
 
 The caps on candidates are part of what a result is and are kept. Each is a
-top-k, which Spark merges from one short list per task; only these few rows meet
-in the joins and windows behind them.
+top-k, which Spark merges from one short list per task. What lies behind them
+works on these bounded lists: they are held in one partition, so that windows and
+joins over them need no exchange, and tables meet them as broadcasts of at most
+the capped number of rows.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def path_candidates(files: DataFrame, q: Question) -> DataFrame:
 def file_candidates(files: DataFrame, q: Question) -> DataFrame:
     """Names, then paths; the first row of an id counts."""
     both = _ranked(name_candidates(files, q), "modified_at", 0).unionByName(_ranked(path_candidates(files, q), "modified_at", 1))
-    return both.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("phase"))).filter("nth = 1").drop("nth")
+    return both.coalesce(1).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("phase"))).filter("nth = 1").drop("nth")
 
 
 def repo_candidates(repos: DataFrame, q: Question) -> DataFrame:
@@ -81,7 +83,7 @@ def text_candidates(blobs: DataFrame, q: Question) -> DataFrame:
     """Strict matches, then loose ones that aren't among them."""
     both = text_matches(blobs, q, True).withColumn("strict", F.lit(True)).unionByName(text_matches(blobs, q, False).withColumn("strict", F.lit(False)))
     key = Window.partitionBy("source_type", "source_id", "extractor_type").orderBy(F.desc("strict"), "seq")
-    kept = both.withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
+    kept = both.coalesce(1).withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("strict"), "seq")))
 
 
@@ -93,7 +95,7 @@ def with_snippets(rows: DataFrame, q: Question) -> DataFrame:
             yield b.assign(snippet=[snippet(c, terms) for c in b["content"]])[["source_id", "extractor_type", "snippet"]]
 
     made = rows.select("source_id", "extractor_type", "content").mapInPandas(run, "source_id string, extractor_type string, snippet string")
-    return rows.drop("content").join(made, ["source_id", "extractor_type"])
+    return rows.drop("content").join(F.broadcast(made), ["source_id", "extractor_type"])
 
 
 def fuzzy_files(files: DataFrame, q: Question) -> DataFrame:
@@ -135,10 +137,12 @@ def merge_text(base: DataFrame, texts: DataFrame, files: DataFrame, repos: DataF
     per = texts.groupBy("source_id", "source_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(boost).alias("boost"), F.min("place").alias("text_place"), F.sort_array(F.collect_list(F.struct("place", reason.alias("r")))).alias("said")
     )
-    about_files = per.filter("source_type = 'file'").join(files.select(F.col("id").alias("source_id"), F.col("path").alias("p"), F.col("name").alias("t"), F.col("modified_at").alias("m")), "source_id", "left")
-    about_repos = per.filter("source_type = 'repo'").join(repos.select(F.col("id").alias("source_id"), F.col("root_path").alias("p"), F.col("repo_name").alias("t"), F.col("last_commit_at").alias("m")), "source_id", "left")
-    found = about_files.unionByName(about_repos)
-    met = base.join(found, F.col("result_id") == F.col("source_id"), "full_outer").filter("result_id IS NOT NULL OR p IS NOT NULL")
+    # a result by name has a parent of its own, so texts without one are left out by inner joins; at most 60 rows are broadcast
+    of = lambda kind: F.broadcast(per.filter(F.col("source_type") == kind))
+    about_files = files.select(F.col("id").alias("source_id"), F.col("path").alias("p"), F.col("name").alias("t"), F.col("modified_at").alias("m")).join(of("file"), "source_id")
+    about_repos = repos.select(F.col("id").alias("source_id"), F.col("root_path").alias("p"), F.col("repo_name").alias("t"), F.col("last_commit_at").alias("m")).join(of("repo"), "source_id")
+    found = about_files.unionByName(about_repos).coalesce(1)
+    met = base.coalesce(1).join(found, F.col("result_id") == F.col("source_id"), "full_outer")
     repo = F.col("source_type") == "repo"
     own = F.when(repo, 135 + S.path_quality(F.col("p"), True)).otherwise(125 + S.path_quality(F.col("p")))
     new = F.col("result_id").isNull()
@@ -167,7 +171,7 @@ def fuzzy_results(files: DataFrame, repos: DataFrame, q: Question) -> DataFrame:
         (72 + S.half_up(F.col("similarity") * 55) + S.path_quality(F.col("root_path"), True)).cast("int").alias("score"), F.col("last_commit_at").alias("last_modified"), "phase", "place",
         F.concat(F.lit("Matched similar repo name ("), percent, F.lit("similarity)"), remote).alias("reason"),
     )
-    return of_files.unionByName(of_repos)
+    return of_files.unionByName(of_repos).coalesce(1)
 
 
 def find(files: DataFrame, repos: DataFrame, blobs: DataFrame, question: str, *, snippets: bool = True) -> DataFrame:
@@ -177,8 +181,9 @@ def find(files: DataFrame, repos: DataFrame, blobs: DataFrame, question: str, *,
     texts = with_snippets(texts, q) if snippets else texts.withColumn("snippet", F.lit(""))
     base = file_results(files, q).unionByName(repo_results(repos, q))
     named = merge_text(base, texts, files, repos, q)
-    fuzzy = fuzzy_results(files, repos, q).join(named.select("result_id"), "result_id", "left_anti")
-    every = named.unionByName(fuzzy.select(*_RESULT))
+    # each id once: a result by name or text before one by similarity
+    every = named.unionByName(fuzzy_results(files, repos, q).select(*_RESULT)).coalesce(1)
+    every = every.withColumn("nth", F.row_number().over(Window.partitionBy("result_id").orderBy(F.col("phase") > 3, "phase"))).filter("nth = 1").drop("nth")
     best = every.filter(F.lit(bool(q.text))).orderBy(F.desc("score"), "phase", "place").limit(RESULTS)
     return best.select("result_id", "result_type", "title", "path", F.col("reason").alias("why_matched"), "score", "last_modified")
 
