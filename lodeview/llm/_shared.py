@@ -48,4 +48,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once all that came from it is written itself."""
+    _remove(stored.sparkSession, stored._stored_at)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, release
 from ._vec import Runs, U, Words, pieces, same_row, signed, words
 
 _ROW_BITS = 26  # places in a piece; a piece is a few rows or one longer text
@@ -147,7 +147,7 @@ def _shared(a: list[str], b: list[str]) -> int:
 
 
 def extend_pairs(classes: DataFrame, *, k: int, window: int) -> DataFrame:
-    """(anchor, around, left, right): matches of each class with classes of smaller ids, from rows with all classes of an anchor."""
+    """(class, left, right): matches of each class with classes of smaller ids, from rows with all classes of an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +165,7 @@ def extend_pairs(classes: DataFrame, *, k: int, window: int) -> DataFrame:
             c = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int16(), pa.int16()), strict=True)], ["anchor", "around", "left", "right"])
 
-    return classes.mapInArrow(run, "anchor long, around long, left short, right short")
+    return classes.mapInArrow(run, "anchor long, around long, left short, right short").select(F.xxhash64("anchor", "around").alias("class"), "left", "right")
 
 
 def extend_hashed(classes: DataFrame, *, k: int, window: int) -> DataFrame:
@@ -178,15 +178,16 @@ def extend_hashed(classes: DataFrame, *, k: int, window: int) -> DataFrame:
                 left, right = _words(before), _words(after)
                 for j in range(max(0, window - k - len(right)), min(len(left), window - k) + 1):
                     text = " ".join(left[len(left) - j :]) + "\n" + " ".join(right[: window - k - j])
-                    out.append((anchor, around, ord_, j, hashlib.blake2b(text.encode(), digest_size=16).digest()))
-            c = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["anchor", "around", "ord", "left", "window"])
+                    out.append((around, ord_, j, hashlib.blake2b(b"%d\n" % anchor + text.encode(), digest_size=16).digest()))
+            c = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int16(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["class", "ord", "left", "window"])
 
-    emitted = classes.select("anchor", "around", "ord", "before", "after").mapInArrow(run, "anchor long, around long, ord long, left short, window binary")
-    least = emitted.groupBy("anchor", "window").agg(F.min("ord").alias("least")).withColumnsRenamed({"anchor": "an", "window": "wi"})
-    met = emitted.join(least, (F.col("anchor") == F.col("an")) & (F.col("window") == F.col("wi"))).filter("least < ord")
-    return met.select("anchor", "around", "left", (F.lit(window) - F.col("left")).cast("short").alias("right"))
+    keyed = classes.select("anchor", F.xxhash64("anchor", "around").alias("class"), "ord", "before", "after")
+    emitted = keyed.mapInArrow(run, "class long, ord long, left short, window binary")
+    least = emitted.groupBy("window").agg(F.min("ord").alias("least")).withColumnRenamed("window", "wi")
+    met = emitted.join(least, F.col("window") == F.col("wi")).filter("least < ord")
+    return met.select("class", "left", (F.lit(window) - F.col("left")).cast("short").alias("right"))
 
 
 def repeats(keyed: DataFrame, *, window: int = 50, k: int = 10, pairwise: int = 24) -> DataFrame:
@@ -194,19 +195,21 @@ def repeats(keyed: DataFrame, *, window: int = 50, k: int = 10, pairwise: int =
     seen = materialize(occurrences(keyed, k=k, window=window), "anchors")
     shared = seen.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("an"))
     hits = materialize(seen.join(shared, F.col("anchor") == F.col("an")).drop("an"), "shared-anchors")
+    release(seen)
     classes = materialize(hits.groupBy("anchor", "around").agg(F.min("ord").alias("lead")), "classes")
     counted = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("lead").alias("least")).filter("n > 1").select(F.col("anchor").alias("an"), (F.col("n") > pairwise).alias("many"), "least")
     leads = hits.join(classes.withColumnsRenamed({"anchor": "ca", "around": "cr"}), (F.col("anchor") == F.col("ca")) & (F.col("around") == F.col("cr"))).drop("ca", "cr")
     whole = leads.filter("ord > lead AND left + right >= " + str(window))
     mine = leads.filter("ord = lead")
-    multi = mine.join(counted, F.col("anchor") == F.col("an")).drop("an")
-    # one occurrence stands for its class: the others have the same surroundings
-    stand = multi.groupBy("anchor", "around", "ord", "th", "many", "left", "right").agg(F.min("place").alias("place"))
+    # one occurrence stands for its class: the others have the same surroundings. Counted before the join on
+    # anchors, which then needs no anchor's rows in one place.
+    stand = mine.groupBy("anchor", "around", "ord", "th", "left", "right").agg(F.min("place").alias("place"))
+    stand = stand.join(counted, F.col("anchor") == F.col("an")).drop("an")
     context = materialize(surroundings(keyed, stand, k=k, window=window), "surroundings")
     few = context.filter("NOT many").groupBy("anchor").agg(F.collect_list(F.struct("ord", "around", "before", "after")).alias("classes"))  # ``pairwise`` at most
     grown = extend_pairs(few, k=k, window=window).union(extend_hashed(context.filter("many"), k=k, window=window))
-    grown = grown.withColumnsRenamed({"anchor": "ga", "around": "gr", "left": "gl", "right": "gx"})
-    partly = mine.join(grown, (F.col("anchor") == F.col("ga")) & (F.col("around") == F.col("gr"))).select("ord", "th", "place", F.col("gl").alias("left"), F.col("gx").alias("right"))
+    grown = grown.withColumnsRenamed({"class": "gc", "left": "gl", "right": "gx"})
+    partly = mine.join(grown, F.xxhash64("anchor", "around") == F.col("gc")).select("ord", "th", "place", F.col("gl").alias("left"), F.col("gx").alias("right"))
     marks = whole.select("ord", "th", "place", "left", "right").union(partly)
     spans = F.struct((F.col("place") - F.col("left")).cast("int").alias("start"), (F.col("place") + F.col("right")).cast("int").alias("end"))
     return marks.select("ord", "th", spans.alias("span")).groupBy("ord", "th").agg(F.collect_list("span").alias("spans"))  # bounded by the text's own anchors
