@@ -8,6 +8,8 @@ decoding). Ranges begin at records, so no payload is searched for marks and
 compressed files split as well. Pushed down are equality and IN on the record type and on header columns; the payload is decoded only if the
 ``payload`` option asks for it.
 
+Archives are compressed record by record unless ``compression`` is ``none``.
+
 Writing: each task writes one file under a name of its own attempt; the driver
 lists the files of committed tasks in the manifest, and readers use only these.
 A lost executor's half-written file is never read.
@@ -210,7 +212,7 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, schema: T.StructType, options: dict):
         self.columns = [f.name for f in schema.fields]
         self.path = options["path"]
-        self.packed = options.get("compression", "none") == "gzip"
+        self.packed = options.get("compression", "gzip") == "gzip"
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
