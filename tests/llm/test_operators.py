@@ -171,6 +171,47 @@ def test_large_buckets_lose_no_link(spark):
     assert all(got[i] == 0 for i in range(60)) and all(got[i] == i for i in range(60, 120))
 
 
+def _family(rng, n, words, changed):
+    """Copies of one text, each with a share of its words changed, and the components of links by changed places alone."""
+    one = np.array(_text(rng, words).split(" "), object)
+    at = np.zeros((n, words), np.int64)
+    for i in range(n):
+        at[i, rng.sample(range(words), int(changed * words))] = i + 1
+    root = np.arange(n)
+    reach = [np.flatnonzero((at[i] != at).sum(1) <= int(0.2 * words + 1e-9)) for i in range(n)]
+    while True:
+        least = np.array([root[r].min() for r in reach])
+        if (least == root).all():
+            break
+        root = least
+    return [" ".join(f"{w}x{c}" if c else w for w, c in zip(one, row)) for row in at], root
+
+
+@pytest.mark.parametrize("n, words, changed", [(1000, 100, 0.1)])
+def test_large_families_at_the_threshold_stay_whole(spark, n, words, changed):
+    """Copies about 0.8 alike: leaders and further buckets join what an exhaustive search does."""
+    texts, root = _family(random.Random(6), n, words, changed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in near.groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == root.tolist()
+
+
+def test_histograms_are_a_bound(spark):
+    rng = random.Random(12)
+    texts = [_text(rng, 60) for _ in range(12)]
+    for t in texts[:12]:
+        w = t.split(" ")
+        for i in rng.sample(range(60), 11):
+            w[i] = rng.choice(WORDS)
+        texts.append(" ".join(w[:30] + ["more"] + w[30:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = near.sketched(docs, id_col="doc_id", text_col="text", tables=4, sample=2)
+    pairs = spark.createDataFrame([(i, j) for i in range(24) for j in range(i + 1, 24)], "a long, b long")
+    left = {tuple(r) for r in near.possible(pairs, reps, similarity=0.8).collect()}
+    assert {(i, j) for i in range(24) for j in range(i + 1, 24) if _distance(texts[i].split(" "), texts[j].split(" ")) <= 0.2 * max(len(texts[i].split(" ")), len(texts[j].split(" ")))} <= left
+    assert len(left) < 100
+
+
 def test_substring(docs, rows, empty):
     got = {r["doc_id"]: r for r in substring.report(docs, with_text=True).filter("doc_id <> 7").collect()}
     first = {}
