@@ -187,7 +187,7 @@ def _family(rng, n, words, changed):
     return [" ".join(f"{w}x{c}" if c else w for w, c in zip(one, row)) for row in at], root
 
 
-@pytest.mark.parametrize("n, words, changed", [(1000, 100, 0.1)])
+@pytest.mark.parametrize("n, words, changed", [(1000, 100, 0.1), (1000, 200, 0.08)])
 def test_large_families_at_the_threshold_stay_whole(spark, n, words, changed):
     """Copies about 0.8 alike: leaders and further buckets join what an exhaustive search does."""
     texts, root = _family(random.Random(6), n, words, changed)
