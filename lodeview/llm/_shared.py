@@ -56,3 +56,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(stored: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once all that came from it is written itself."""
     _remove(stored.sparkSession, stored._stored_at)
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` doesn't have in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

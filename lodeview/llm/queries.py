@@ -28,7 +28,7 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.groups(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("group_id"))
+    return near.groups(_table(spark, sf_dir, "documents"))
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
