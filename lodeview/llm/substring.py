@@ -14,8 +14,8 @@ pair of occurrences would be quadratic in how often a passage comes, so
 * of each class only its smallest document is extended, against the smallest
   documents of the anchor's other classes;
 * an anchor with more than ``pairwise`` classes is extended by hashes instead of
-  by pairs: each class emits its windows through the anchor once, and the
-  smallest id of each window is an aggregation. Rows grow with the classes, not
+  by pairs: each class emits the windows that pick the anchor, and the smallest
+  id of each window is an aggregation. Rows grow with the classes, not
   with their pairs.
 
 Maximal repeats of at least ``window`` words are marked per document and merged,
@@ -23,7 +23,8 @@ and their words removed. Texts are read whole; nothing is capped.
 
 Defined cases: a null text has no words; a null id counts as larger than any;
 documents under ``window`` words stay whole; rows with one id don't match each
-other, as neither id is smaller; an empty table gives an empty result.
+other, as neither id is smaller, nor do rows with null ids; further columns are
+not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize, release
 from ._vec import Runs, U, Words, pieces, same_row, signed, words
 
-_ROW_BITS = 26  # places in a piece; a piece is a few rows or one longer text
+_PLACE_BITS = 20  # places that are ranked together, in the low bits of a k-mer's hash
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -53,20 +54,27 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def anchors(w: Words, hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word places, hashes) of the k-mers that are smallest in some window, the last one of equals."""
-    span = window - k + 1
-    if len(hashes) < window:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    if len(hashes) >> _ROW_BITS:
-        raise ValueError("a document has more words than places can number")
+def picks(w: Words, hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, places): each window within a row, in order, and the place of its smallest k-mer, the last one of equals."""
+    n, span = len(hashes) - window + 1, window - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = Runs(hashes).windows(k)
-    place = np.arange(len(grams), dtype=np.int64).astype(U)
-    low = U((1 << _ROW_BITS) - 1)
-    ranked = (grams & ~low) | (low - place)
-    least = _sliding_min(ranked, span)[same_row(w, window)]
-    at = np.unique((low - (least & low)).astype(np.int64))
-    return at, grams[at]
+    low, step = U((1 << _PLACE_BITS) - 1), (1 << _PLACE_BITS) - span
+    out = np.empty(n, np.int64)
+    for lo in range(0, n, step):  # places are numbered from the part's start, so a text may have any length
+        hi = min(n, lo + step)
+        part = grams[lo : hi + span - 1]
+        least = _sliding_min((part & ~low) | (low - np.arange(len(part), dtype=np.int64).astype(U)), span)
+        out[lo:hi] = lo + (low - (least & low)).astype(np.int64)
+    starts = np.flatnonzero(same_row(w, window))
+    return starts, out[starts]
+
+
+def anchors(w: Words, hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word places, hashes) of the k-mers that are smallest in some window."""
+    at = np.unique(picks(w, hashes, k, window)[1])
+    return at, Runs(hashes).of(at, at + k)
 
 
 def _document_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,20 +113,22 @@ def _cut(data: np.ndarray, w: Words, lo: int, hi: int) -> str:
 
 
 def surroundings(keyed: DataFrame, wanted: DataFrame, *, k: int, window: int) -> DataFrame:
-    """For (anchor, around, ord, th, place, left, right): the words left and right of the anchor's first word, as text."""
+    """For (anchor, around, ord, th, place, left, right): the words left and right of the anchor as text, and the least and most words before it in a window that picks it."""
     per_text = wanted.groupBy("ord", "th").agg(F.collect_list(F.struct("anchor", "around", "place", "left", "right", "many")).alias("asked"))  # bounded by the text's own anchors
     joined = keyed.join(per_text.withColumnsRenamed({"ord": "o", "th": "h"}), (F.col("ord") == F.col("o")) & (F.col("th") == F.col("h"))).select("ord", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches, "text"):
             w = words(data, offsets)
+            starts, places = picks(w, w.hashes(), k, window)
             ords = rows.column(0).to_pylist()
             out: list[tuple] = []
             for i, asked in enumerate(rows.column(2).to_pylist()):
                 first = int(w.first[i])
                 for x in asked:
                     at = first + x["place"]
-                    out.append((x["anchor"], x["around"], ords[i], _cut(data, w, at - x["left"], at), _cut(data, w, at + k, at + x["right"]), x["many"]))
+                    one, last = starts[np.searchsorted(places, at)], starts[np.searchsorted(places, at, "right") - 1]
+                    out.append((x["anchor"], x["around"], ords[i], _cut(data, w, at - x["left"], at), _cut(data, w, at + k, at + x["right"]), x["many"], int(at - last), int(at - one)))
                 if len(out) > 20_000:
                     yield _batch(out)
                     out = []
@@ -127,10 +137,10 @@ def surroundings(keyed: DataFrame, wanted: DataFrame, *, k: int, window: int) ->
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
         c = list(zip(*out, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["anchor", "around", "ord", "before", "after", "many"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["anchor", "around", "ord", "before", "after", "many", "least", "most"])
 
-    return joined.mapInArrow(run, "anchor long, around long, ord long, before string, after string, many boolean")
+    return joined.mapInArrow(run, "anchor long, around long, ord long, before string, after string, many boolean, least int, most int")
 
 
 def _words(text: str) -> list[str]:
@@ -169,23 +179,28 @@ def extend_pairs(classes: DataFrame, *, k: int, window: int) -> DataFrame:
 
 
 def extend_hashed(classes: DataFrame, *, k: int, window: int) -> DataFrame:
-    """The same for anchors with many classes: windows through the anchor by hash, and each window's smallest id."""
+    """The same for anchors with many classes: the windows that pick the anchor, by hash, and each window's smallest id.
+
+    Equal windows pick the same place, so each is emitted once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for anchor, around, ord_, before, after in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for anchor, around, ord_, before, after, least, most in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 left, right = _words(before), _words(after)
-                for j in range(max(0, window - k - len(right)), min(len(left), window - k) + 1):
+                for j in range(least, most + 1):
                     text = " ".join(left[len(left) - j :]) + "\n" + " ".join(right[: window - k - j])
                     out.append((around, ord_, j, hashlib.blake2b(b"%d\n" % anchor + text.encode(), digest_size=16).digest()))
             c = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int16(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["class", "ord", "left", "window"])
 
-    keyed = classes.select("anchor", F.xxhash64("anchor", "around").alias("class"), "ord", "before", "after")
+    keyed = classes.select("anchor", F.xxhash64("anchor", "around").alias("class"), "ord", "before", "after", "least", "most")
     emitted = keyed.mapInArrow(run, "class long, ord long, left short, window binary")
-    least = emitted.groupBy("window").agg(F.min("ord").alias("least")).withColumnRenamed("window", "wi")
+    sizes = emitted.groupBy("window").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
+    # stored: a join between plain exchanges can split a window that comes in very many documents
+    least = materialize(sizes.filter("least < most").select(F.col("window").alias("wi"), "least"), "repeated-windows")
     met = emitted.join(least, F.col("window") == F.col("wi")).filter("least < ord")
     return met.select("class", "left", (F.lit(window) - F.col("left")).cast("short").alias("right"))
 
@@ -198,11 +213,12 @@ def repeats(keyed: DataFrame, *, window: int = 50, k: int = 10, pairwise: int =
     release(seen)
     classes = materialize(hits.groupBy("anchor", "around").agg(F.min("ord").alias("lead")), "classes")
     counted = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("lead").alias("least")).filter("n > 1").select(F.col("anchor").alias("an"), (F.col("n") > pairwise).alias("many"), "least")
+    counted = materialize(counted, "anchors-of-several-classes")
     leads = hits.join(classes.withColumnsRenamed({"anchor": "ca", "around": "cr"}), (F.col("anchor") == F.col("ca")) & (F.col("around") == F.col("cr"))).drop("ca", "cr")
     whole = leads.filter("ord > lead AND left + right >= " + str(window))
     mine = leads.filter("ord = lead")
-    # one occurrence stands for its class: the others have the same surroundings. Counted before the join on
-    # anchors, which then needs no anchor's rows in one place.
+    # one occurrence stands for its class: the others have the same surroundings. ``counted`` is stored, so that the
+    # join on anchors is between plain exchanges and a frequent anchor can be split.
     stand = mine.groupBy("anchor", "around", "ord", "th", "left", "right").agg(F.min("place").alias("place"))
     stand = stand.join(counted, F.col("anchor") == F.col("an")).drop("an")
     context = materialize(surroundings(keyed, stand, k=k, window=window), "surroundings")
