@@ -20,7 +20,8 @@ by at most half of that document.
 
 Defined cases: a null text has no words; a null source is a source, last in
 order; rows that share an id share a hash and go in together; a source without
-words has target 0; an empty table gives an empty result.
+words has target 0; an empty table gives an empty result; further columns pass
+through ``mix_sources`` whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, unused
 
 HASH_BITS, LEVEL_BITS = 60, 12
 
@@ -116,11 +117,12 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (possibly never)."""
     _, goal = _planned(docs, id_col, text_col, source_col, seed, **options)
-    goal = goal.select(F.col("source").alias("__s"), "repeats", "threshold").withColumnsRenamed({"repeats": "__repeats", "threshold": "__threshold"})
-    hashed = docs.withColumn("__h", order_hash(F.col(id_col), seed))
-    copies = F.col("__repeats") + (F.col("__h") < F.col("__threshold")).cast("long")
+    h, s, repeats, threshold, copy = unused(docs, "h", "s", "repeats", "threshold", "copy")
+    goal = goal.select(F.col("source").alias(s), F.col("repeats").alias(repeats), F.col("threshold").alias(threshold))
+    hashed = docs.withColumn(h, order_hash(F.col(id_col), seed))
+    copies = F.col(repeats) + (F.col(h) < F.col(threshold)).cast("long")
     return (
-        hashed.join(goal, F.col(source_col).eqNullSafe(F.col("__s"))).filter(copies > 0)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-        .drop("__h", "__s", "__repeats", "__threshold", "__copy")
+        hashed.join(goal, F.col(source_col).eqNullSafe(F.col(s))).filter(copies > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+        .drop(h, s, repeats, threshold, copy)
     )

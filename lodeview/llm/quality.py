@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import unused
 from ._vec import Runs, U, byte_hashes, mix, pieces, salt, same_row, words
 
 #: The characters counted as symbols.
@@ -133,9 +134,8 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _measured(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with one more column, the struct of measurements."""
-    name = "__measures"
+def _measured(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with one more column of this name, the struct of measurements."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +164,8 @@ def failures(measures: str = "") -> F.Column:
 
 def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, the measurements, and ``failed``, the bits of failed rules."""
-    found = _measured(docs.select(id_col, text_col), text_col)
-    return found.select(id_col, *[F.col(f"__measures.{m}").alias(m) for m in MEASURES]).withColumn("failed", failures())
+    found = _measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "measures")
+    return found.select(F.col("id").alias(id_col), *[F.col(f"measures.{m}").alias(m) for m in MEASURES]).withColumn("failed", failures())
 
 
 def verdict(policy: str) -> F.Column:
@@ -174,8 +174,9 @@ def verdict(policy: str) -> F.Column:
 
 def keep(docs: DataFrame, *, text_col: str = "text", policy: str = "v1") -> DataFrame:
     """The rows of ``docs`` that the policy keeps."""
-    failed = failures("__measures").bitwiseAND(F.lit(POLICIES[policy].mask))
-    return _measured(docs, text_col).filter(failed == 0).drop("__measures")
+    (name,) = unused(docs, "measures")
+    failed = failures(name).bitwiseAND(F.lit(POLICIES[policy].mask))
+    return _measured(docs, text_col, name).filter(failed == 0).drop(name)
 
 
 def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
