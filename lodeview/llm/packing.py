@@ -1,10 +1,16 @@
 """Packing token streams into fixed sequences, sources mixed by deficit round-robin.
 
 Each source is a queue of its documents' tokens. Windows of ``window`` sequences
-are served in turn; in each, every queue earns its share of the window and pays
-in whole tokens, and what it could not pay out (a fraction of a token) is its
-deficit for the next window. With T_s tokens in queue s and W windows, the
-tokens paid by the end of window w are exactly ``floor(w * T_s / W)``, so any
+are served in turn; in each, every queue that still has tokens earns its share of
+the window by weight and pays in whole tokens, and what it could not pay out (a
+fraction of a token) is its deficit for the next window. Weights are given by
+source (1 where not); without any, a queue weighs as many tokens as it has, so
+all windows have the proportions of the whole. When a queue is empty, the rest
+share the windows by their weights.
+
+With T_s tokens of weight w_s in queue s, the queues have paid min(T_s, floor(w_s L))
+tokens by the end of a window, where the level L solves sum(min(T_s, w_s L)) =
+tokens up to there. L is piecewise linear with a break where a queue ends, so any
 task can compute the place of any token from its position in its queue: the
 deficits cross windows and partitions with no task waiting for another.
 
@@ -14,9 +20,11 @@ counts give each task its queues' starts; the second cuts the pieces. Sequences
 are consecutive, so all but the last are full.
 
 Defined cases: a null or empty text is the end id alone; a null source is a
-queue of its own; above MAX_QUEUES distinct sources, queues are hash classes of
-sources, which bounds what the driver and every task hold; repeated rows are
-packed as often as they come; an empty table gives an empty result.
+queue of its own; sources that the weights name have queues of their own, the
+others too as long as there are ``queues`` of them at most, else they share that
+many by hash, which bounds what the driver and every task hold; repeated rows are
+packed as often as they come; further columns are not read, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +43,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 from ._vec import pieces
 
-MAX_QUEUES = 4096
+QUEUES = 4096
 _CACHE = 300_000
 # The pattern that cuts text before byte-level merging, and the printable character that stands for each byte in vocabulary files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -101,11 +109,15 @@ class Encoder:
         return out
 
 
-def tokenised(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, source_col: str, end_id: int) -> DataFrame:
+def _name(source: str | None) -> str:
+    return "n" if source is None else "s" + source
+
+
+def tokenised(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, source_col: str, end_id: int, own: list[str], queues: int) -> DataFrame:
     """Stored (id, queue, part, begin, n, ids): ``begin`` counts the queue's tokens before it in its task."""
-    many = docs.select(source_col).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    source = F.col(source_col)
-    queue = F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string") if many else F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+    queue = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+    many = docs.select(queue.alias("q")).filter(~F.col("q").isin(own)).distinct().limit(queues + 1).count() > queues
+    queue = F.when(queue.isin(own), queue).otherwise(F.pmod(F.xxhash64(queue), F.lit(queues)).cast("string")) if many else queue
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -131,17 +143,28 @@ def tokenised(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, so
 
 
 class Rounds:
-    """Places of queue tokens in the packed stream, from the queues' totals."""
-
-    def __init__(self, totals: list[int], window: int):
-        t = np.array(totals, np.int64)
-        self.totals, self.windows = totals, max(1, -(-int(sum(totals)) // window))
-        self.whole, self.rest = t // self.windows, t % self.windows
-        self.cache: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    """Places of queue tokens in the packed stream, from the queues' totals and weights."""
+
+    def __init__(self, totals: list[int], window: int, weights: list[float] | None = None):
+        self.totals, self.window_tokens, self.total = np.array(totals, np.int64), window, int(sum(totals))
+        self.windows = max(1, -(-self.total // window))
+        self.weights = np.array(totals if weights is None else weights, np.float64)
+        ends = self.totals / self.weights
+        order = np.argsort(ends, kind="stable")
+        # breaks: the levels at which queues end, the tokens paid by then, and the weight served from there on
+        self.levels = np.concatenate([[0.0], ends[order]])
+        self.served = np.concatenate([np.cumsum(self.weights[order][::-1])[::-1], [0.0]])
+        self.tokens = np.concatenate([[0.0], np.cumsum(np.diff(self.levels) * self.served[:-1])])
+        self.cache: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def paid(self, w: int) -> np.ndarray:
         """Tokens that each queue has paid before window w."""
-        return w * self.whole + w * self.rest // self.windows
+        if w >= self.windows:
+            return self.totals
+        y = float(w * self.window_tokens)
+        i = min(int(np.searchsorted(self.tokens, y, "right")) - 1, len(self.levels) - 2)
+        level = min(self.levels[i] + max(0.0, y - self.tokens[i]) / self.served[i], self.levels[i + 1])
+        return np.minimum(self.totals, np.floor(self.weights * level).astype(np.int64))
 
     def window(self, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Paid before, paid after, and where each queue's part begins in the stream."""
@@ -154,7 +177,8 @@ class Rounds:
 
     def places(self, queue: int, x: int, n: int) -> Iterator[tuple[int, int]]:
         """(place, length) runs of the n tokens from position x of a queue."""
-        w = min(self.windows - 1, x * self.windows // self.totals[queue])
+        y = float(np.interp(x / self.weights[queue], self.levels, self.tokens))
+        w = min(self.windows - 1, int(y // self.window_tokens))
         while n:
             a, b, at = self.window(w)
             if x < a[queue]:
@@ -169,18 +193,25 @@ class Rounds:
 
 def pack(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    sequence: int = 1024, window: int = 64, end_id: int = 0, with_ids: bool = False,
+    sequence: int = 1024, window: int = 64, end_id: int = 0, with_ids: bool = False, weights: Mapping[str | None, float] | None = None, queues: int = QUEUES,
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    tokens = tokenised(docs, tokenizer, id_col=id_col, text_col=text_col, source_col=source_col, end_id=end_id)
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
+
+    ``weights`` are the target proportions of sources in a window, above 0; None keeps those of all tokens.
+    """
+    own = {_name(source): float(w) for source, w in (weights or {}).items()}
+    if any(w <= 0 for w in own.values()):
+        raise ValueError("weights are above 0")
+    tokens = tokenised(docs, tokenizer, id_col=id_col, text_col=text_col, source_col=source_col, end_id=end_id, own=list(own), queues=queues)
     by_part = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begins = materialize(by_part.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))), "queue-begins")
-    totals = {r["queue"]: r["n"] for r in begins.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").limit(MAX_QUEUES).collect()}  # MAX_QUEUES at most exist
+    totals = {r["queue"]: r["n"] for r in begins.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}  # ``queues`` and the weights' own at most exist
     number, sums = {q: i for i, q in enumerate(totals)}, list(totals.values())
+    shares = None if weights is None else [own.get(q, 1.0) for q in totals]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rounds = Rounds(sums, window * sequence)
+        rounds = Rounds(sums, window * sequence, shares)
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 yield from _cut(batch.slice(begin, 1000), rounds, number, sequence, with_ids)
