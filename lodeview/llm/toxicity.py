@@ -8,14 +8,19 @@ its most toxic window; windows overlap and cover the whole text.
 
 The network is written and trained in numpy. It learns from a bounded sample of
 labelled rows: the MAX_ROWS with the smallest hash of the id, outside the
-held-out fold, and at most MAX_WINDOWS windows of each, spread evenly over the
-whole text. A label speaks for a document, so after some rounds over all windows
-each toxic document is represented by the window that scores highest. Scores use
-the text alone. Training is seeded: reruns give the same model.
+held-out fold, with at most MAX_WINDOWS windows of a clean one and MAX_TOXIC of a
+toxic one, spread evenly over the whole text. A label speaks for a document, so
+after some rounds over all windows each toxic document is represented by the
+window that scores highest. Labels are noisy: where some toxic documents have a
+word that leans to the toxic side by BORNE_OUT or more (in log odds, counted over
+the sample), those that have none are left out of the fit. The first entry of a
+word's vector is this counted leaning and isn't learned. Scores use the text
+alone, and all windows of it. Training is seeded: reruns give the same model.
 
 Defined cases: a null or empty text gets the score of a window without words; a
-row without a label teaches nothing; without any labelled row all scores are 0;
-rows are scored one by one, so ties and repeated rows don't matter; an empty
+row without a label or an id teaches nothing; without any labelled row all scores
+are 0; rows are scored one by one, so ties and repeated rows don't matter; a null
+id isn't held out; further columns are not read, whatever their names; an empty
 table gives an empty result.
 """
 
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from ._vec import U, byte_hashes, mix, pieces, words
 
 WINDOW, STRIDE = 48, 32
-MAX_ROWS, MAX_WINDOWS = 4000, 24
+MAX_ROWS, MAX_WINDOWS, MAX_TOXIC = 4000, 24, 512
 VOCABULARY, TRIPLE_SLOTS = 65_536, 4096
 WORD_DIM, TRIPLE_DIM, HIDDEN = 8, 12, 8
 FOLDS = 5
@@ -310,7 +315,7 @@ def held_out(id_: F.Column) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """At most MAX_ROWS labelled rows as at most MAX_WINDOWS windows each: (id, y, start, text)."""
+    """At most MAX_ROWS labelled rows as windows, MAX_WINDOWS of a clean and MAX_TOXIC of a toxic one at most: (id, y, start, text)."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").filter(~held_out(F.col("id")))
     rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(MAX_ROWS)  # the documented bound of the fit
     joined = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(rows), F.col("i") == F.col("id")).select("id", "y", "text")
@@ -322,8 +327,9 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
                 for i, y, text in zip(*(c.to_pylist() for c in batch.slice(begin, 100).columns), strict=True):
                     raw = (text or "").encode().split()
                     starts = window_starts(len(raw))
-                    if len(starts) > MAX_WINDOWS:
-                        starts = [starts[k * (len(starts) - 1) // (MAX_WINDOWS - 1)] for k in range(MAX_WINDOWS)]
+                    most = MAX_TOXIC if y == 1 else MAX_WINDOWS
+                    if len(starts) > most:
+                        starts = [starts[k * (len(starts) - 1) // (most - 1)] for k in range(most)]
                     out += [(i, y, s, b" ".join(raw[s : s + WINDOW]).decode()) for s in starts]
                 columns = list(zip(*out, strict=True)) or [[]] * 4
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
