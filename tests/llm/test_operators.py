@@ -1,14 +1,21 @@
 """Operators against brute force, and their defined cases: nulls, empties, ties, repeats, long texts, clashing names."""
 
+import gzip
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from lodeview.llm import chat, exact, html_text, mixing, near, packing, quality, substring, toxicity, warc
+from lodeview.llm._vec import words
 from lodeview.llm.queries import tokenizer_path
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -86,20 +93,67 @@ def test_packing(docs, rows, empty):
 
     t = Tokenizer.from_file(tokenizer_path())
     t.encode_special_tokens = True
-    want = sorted((str(i), tuple(t.encode(x or "", add_special_tokens=False).ids + [0])) for i, x, *_ in rows)
-    pieces = packing.pack(docs, tokenizer_path(), with_ids=True).collect()
-    by = {}
+    want = {}
+    for i, x, *_ in rows:
+        want.setdefault(i, []).append(t.encode(x or "", add_special_tokens=False).ids + [0])
+    pieces = packing.pack(docs.withColumn("ids", near.F.lit(1)), tokenizer_path(), with_ids=True).collect()
+    seen = {i: [[] for _ in ids[0]] for i, ids in want.items() if len(ids) < 2 or ids[0] == ids[1]}
     for p in pieces:
         assert zlib.crc32(np.array(p["ids"], "<u4").tobytes()) == p["ids_crc32"] and len(p["ids"]) == p["length"]
-        by.setdefault(str(p["doc_id"]), []).append((p["start"], p["ids"], p["doc_tokens"]))
-    for i in {i for i, _ in want} - {"7"}:
-        parts = sorted(by[i])
-        assert tuple(x for _, ids, _ in parts for x in ids) == next(ids for j, ids in want if i == j) and parts[0][2] == sum(len(ids) for _, ids, _ in parts)
+        if p["doc_id"] in seen:
+            assert p["doc_tokens"] == len(want[p["doc_id"]][0])
+            for k, x in enumerate(p["ids"]):
+                seen[p["doc_id"]][p["start"] + k].append(x)
+    # each token as often as its row is repeated
+    assert all(got == [x] * len(want[i]) for i, all_ in seen.items() for got, x in zip(all_, want[i][0], strict=True))
     spans = sorted((p["sequence_id"] * 1024 + p["offset"], p["length"]) for p in pieces)
     assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def _served(totals, weights, window):
+    """Tokens of each queue in each window, by serving one token at a time to the queue that is owed most."""
+    paid, out = np.zeros(len(totals)), []
+    owed = np.zeros(len(totals))
+    for n in range(sum(totals)):
+        if n % window == 0:
+            out.append(np.zeros(len(totals), int))
+        left = paid < totals
+        owed += np.where(left, weights, 0) / np.sum(np.where(left, weights, 0))
+        q = int(np.argmax(np.where(left, owed, -np.inf)))
+        owed[q] -= 1
+        paid[q] += 1
+        out[-1][q] += 1
+    return out
+
+
+@pytest.mark.parametrize("totals, weights", [([900, 300, 30, 1], None), ([900, 300, 30, 1], [1.0, 1.0, 2.0, 5.0]), ([5, 5], [3.0, 1.0]), ([640], None), ([100, 1000, 100], [8.0, 1.0, 1.0])])
+def test_windows_have_the_target_proportions(totals, weights):
+    """The closed form against a queue-by-queue simulation: windows differ by the fractions of a token that queues carry."""
+    rounds = packing.Rounds(totals, 64, weights)
+    plain = _served(totals, np.array(weights or totals, float), 64)
+    got = [rounds.paid(w + 1) - rounds.paid(w) for w in range(rounds.windows)]
+    assert (sum(got) == totals).all() and all((x >= 0).all() for x in got)
+    upto = np.cumsum(got, 0) - np.cumsum(plain, 0)
+    assert np.abs(upto).max() <= 2 * len(totals)
+    places = sorted((at, n) for q, t in enumerate(totals) for x in range(0, t, 7) for at, n in rounds.places(q, x, min(7, t - x)))
+    assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(places[-1]) == sum(totals)
+
+
+def test_packing_to_weights(spark):
+    docs = spark.createDataFrame([(i, "w " * 40, "ab"[i % 5 > 0]) for i in range(200)], "doc_id long, text string, source string")
+    rows = packing.pack(docs, tokenizer_path(), sequence=64, window=4, weights={"a": 3.0, None: 1.0}).join(docs.withColumnRenamed("doc_id", "i"), near.F.col("doc_id") == near.F.col("i")).collect()
+    by = {}
+    for r in rows:
+        window = by.setdefault(r["sequence_id"] // 4, {"a": 0, "b": 0})
+        window[r["source"]] += r["length"]
+    a_tokens = sum(w["a"] for w in by.values())
+    full = [w for _, w in sorted(by.items())][: int(a_tokens // (256 * 0.75))]
+    assert len(full) > 5 and all(abs(w["a"] - 192) <= 2 and abs(w["b"] - 64) <= 2 for w in full)
+    few = packing.pack(docs, tokenizer_path(), queues=1).collect()
+    assert sum(r["length"] for r in few) == sum(r["length"] for r in rows)
+
+
 @pytest.mark.parametrize("text", ["  a b", " a  b\n c   d ", "a\n  b", "", " ", "   ", " x   y<|endoftext|> z", "it's  don't\t\tx", "a  b 　c"])
 def test_chunks_are_independent(text):
     from tokenizers import Tokenizer
@@ -223,32 +277,45 @@ def test_histograms_are_a_bound(spark):
             w[i] = rng.choice(WORDS)
         texts.append(" ".join(w[:30] + ["more"] + w[30:]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    reps = near.sketched(docs, id_col="doc_id", text_col="text", tables=4, sample=2)
-    pairs = spark.createDataFrame([(i, j) for i in range(24) for j in range(i + 1, 24)], "a long, b long")
-    left = {tuple(r) for r in near.possible(pairs, reps, similarity=0.8).collect()}
+    reps = near.sketched(near._keyed(docs, "doc_id", "text"), tables=4, sample=2).withColumn("rid", near.F.col("id"))
+    pairs = spark.createDataFrame([(i, j, True) for i in range(24) for j in range(i + 1, 24)], "a long, b long, star boolean")
+    left = {(r["a"], r["b"]) for r in near.possible(pairs, reps, similarity=0.8).collect()}
     assert {(i, j) for i in range(24) for j in range(i + 1, 24) if _distance(texts[i].split(" "), texts[j].split(" ")) <= 0.2 * max(len(texts[i].split(" ")), len(texts[j].split(" ")))} <= left
     assert len(left) < 100
 
 
 def test_substring(docs, rows, empty):
-    got = {r["doc_id"]: r for r in substring.report(docs, with_text=True).filter("doc_id <> 7").collect()}
+    rows = [(*r[:2],) for r in rows]
+    big = float("inf")
     first = {}
-    for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+    for i, t in sorted(rows, key=lambda r: big if r[0] is None else r[0]):
         w = _w(t)
         for s in range(len(w) - 49):
-            first.setdefault(tuple(w[s : s + 50]), i)
-    for i, t, *_ in rows:
-        if i in (None, 7):
-            continue
+            first.setdefault(tuple(w[s : s + 50]), big if i is None else i)
+    want = []
+    for i, t in rows:
         w, gone = _w(t), set()
         for s in range(len(w) - 49):
-            if first[tuple(w[s : s + 50])] < i:
+            if first[tuple(w[s : s + 50])] < (big if i is None else i):
                 gone |= set(range(s, s + 50))
-        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) == (len(w), len(gone), kept)
+        want.append((str(i), len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    for options in ({}, {"pairwise": 1}):
+        got = [(str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.report(docs.withColumn("anchor", near.F.lit(1)), with_text=True, **options).collect()]
+        assert sorted(got) == sorted(want)
     assert substring.report(empty).count() == 0
 
 
+def test_places_have_no_limit(monkeypatch):
+    """Windows pick the same places however many words are ranked together."""
+    rng = random.Random(2)
+    data = " ".join(rng.choice(WORDS) for _ in range(3000)).encode()
+    w = words(np.frombuffer(data, np.uint8), np.array([0, len(data) // 2, len(data)]))
+    whole = substring.picks(w, w.hashes(), 10, 50)
+    monkeypatch.setattr(substring, "_PLACE_BITS", 8)
+    parts = substring.picks(w, w.hashes(), 10, 50)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
 def test_many_contexts_by_hash(docs):
     plain, hashed = (sorted(map(str, substring.report(docs, pairwise=p).collect())) for p in (24, 1))
     assert plain == hashed
@@ -284,7 +351,13 @@ def test_chat(spark):
 
 
 @pytest.mark.parametrize("html, text", [
-    (None, ""), ("", ""), ("plain", "plain"),
+    (None, ""), ("", ""), ("plain", "plain"), ("<p>a</p><![foo[x]]>", "a"), ("<![CDATA[x]]>y", "y"),
+    ('<p>Prices in <span class="alert">red</span> rise <span hidden>no</span>', "Prices in red rise"),
+    ('<article><p>x</p><ul class="menu-items"><li>soup</ul><ul class="share"><li>no</ul></article>', "x\nsoup"),
+    ("<article><p>A first article of some length, to be read.</article><article><p>Short.</article>", "A first article of some length, to be read.\nShort."),
+    ("<main><p>An introduction that is as long as the article below it.</p><article><p>The article below the introduction, of like length.</article></main>", "An introduction that is as long as the article below it.\nThe article below the introduction, of like length."),
+    ("<div><div><p>A long paragraph in one division, with many words to count.</p></div><section>Short.</section>Bare text.<div><p>Another long paragraph in another division of the page.</p></div></div><div id=footer>no</div>",
+     "A long paragraph in one division, with many words to count.\nShort.\nBare text.\nAnother long paragraph in another division of the page."),
     ("<body><nav><a>m</a></nav><article><h1>T &amp; x</h1><p>a  b\n c<p>d <b>e</b></article><footer>f</footer>", "T & x\na b c\nd e"),
     ("<article><p>P1</p><div class='comments'><p>reader</p></div><form><p>mail</p></form><script>x<y</script><ul><li>one<li>two</ul></article>", "P1\none\ntwo"),
     ("<div class='has-sidebar'><p>Long enough text of a page that has no article around it at all.</p><p>Short.</p></div><div id='sidebar'>no</div>", "Long enough text of a page that has no article around it at all.\nShort."),
@@ -293,6 +366,31 @@ def test_html(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("part, end", [("<div><p>word ", ""), ("<span><b>", "<h1>x"), ("<div>x", "</section>" * 30_000), ("<p>x<div><li>", ""), ("<ul><li><a href=x>", "</a>")])
+def test_html_deep_pages_take_time_in_proportion(part, end):
+    def seconds(n):
+        begun = time.perf_counter()
+        html_text.main_text(part * n + end)
+        return time.perf_counter() - begun
+
+    assert min(seconds(30_000) for _ in range(2)) < 30 * max(0.02, seconds(3_000))
+
+
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p", ">", "<![", "]]>", "<!--", "-->", "<a href='", "'", "&#x", ";", "<article>", "</article>", "<ul><li>", "word ", "<script>", "</script>", "<!doctype ", "<?", "\0", "é"]), max_size=30))
+def test_html_never_raises(parts):
+    assert isinstance(html_text.main_text("".join(parts)), str)
+
+
+def test_html_whole_pages(spark):
+    """All pages of the smallest tables against a plain reading of their one article."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in pages.join(html_text.report(pages).select("page_id", "text"), "page_id").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"] or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|ul|li|div|article)\b[^>]*>", inner[1]) if inner else []
+        plain = (" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks)
+        assert r["text"] == "\n".join(b for b in plain if b)
+
+
 def test_html_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "old")], "page_id long, url string, html string, text string")
     assert html_text.extract(df).first()["text"] == "x" and html_text.report(df.limit(0)).count() == 0
@@ -301,17 +399,44 @@ def test_html_columns(spark):
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc(spark, tmp_path, compression):
     long = "<p>" + "x\r\n\r\nWARC/1.1\r\n" * 20
-    pages = [(3, "u", long), (1, "u\nv", long), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", "é" * 99)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    pages = [(3, "u", long, 0), (1, "u\nv", long, 0), (2, None, "short", 0), (4, "u", "short", 0), (5, "u", None, 0), (6, "u", "é" * 99, 0)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, payload int")
     warc.write(warc.plan_revisits(df), str(tmp_path), compression=compression, rangebytes="100")
     back = warc.read(spark, str(tmp_path))
-    assert back.count() == 6 and bytes(back.filter("record_id = '<urn:lodeview:1>'").first()["payload"]).decode() == long
+    assert back.count() == 6 and bytes(back.filter("record_id LIKE '<urn:lodeview:1:%'").first()["payload"]).decode() == long
     only = back.filter("record_type = 'revisit'").collect()
-    assert [(r["record_id"], r["refers_to"], r["payload_bytes"]) for r in only] == [("<urn:lodeview:3>", "<urn:lodeview:1>", len(long))] and not only[0]["payload"]
+    assert [(r["record_id"][:16], r["refers_to"][:16], r["payload_bytes"]) for r in only] == [("<urn:lodeview:3:", "<urn:lodeview:1:", len(long))] and not only[0]["payload"]
+    assert only[0]["profile"] == warc.PROFILE and {r["date"] for r in back.collect()} == {warc.UNDATED}
+    assert back.count() == 6  # a filter on one use of a DataFrame doesn't stay for others
+    some = warc.read(spark, str(tmp_path), {"record_type": "revisit", "record_id": [r["record_id"] for r in only]}).collect()
+    assert [r["record_id"] for r in some] == [only[0]["record_id"]]
+    os.remove(tmp_path / warc.MANIFEST)  # as in archives of other writers
+    assert sorted(map(str, warc.read(spark, str(tmp_path)).collect())) == sorted(map(str, back.collect()))
     got = {r["page_id"]: r for r in warc.report(df).collect()}
     assert got[3]["refers_to"] == 1 and got[5]["payload_digest"] == hashlib.sha256(b"").hexdigest() and warc.report(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows(spark, tmp_path):
+    long = "y" * 200
+    pages = [(7, "u", long)] * 3 + [(9, "u", long)] + [(8, "u", "z")] * 2 + [(None, "u", long)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    records = warc.plan_revisits(df).collect()
+    assert len({r["record_id"] for r in records}) == 7 and len({r["refers_to"] for r in records if r["refers_to"]}) == 1
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.report(df).collect())
+    assert got == sorted([("7", "response", None), ("7", "revisit", 7), ("7", "revisit", 7), ("9", "revisit", 7), ("8", "response", None), ("8", "response", None), ("None", "revisit", 7)])
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>page"
+    plain = b"warc/1.0".upper() + b"\r\nwarc-type:response\r\nWARC-RECORD-ID: <urn:uuid:1>\r\ncontent-type: application/http; msgtype=response\r\nContent-Length:%d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nX-Folded: a\r\n b\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(info + plain)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(plain))
+    got = warc.read(spark, str(tmp_path)).filter("record_type = 'response'").collect()
+    assert [(r["record_id"], bytes(r["payload"])) for r in got] == [("<urn:uuid:1>", b"<p>page")] * 2
+    assert warc.read(spark, str(tmp_path / "a.warc")).count() == 2
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     data = []
@@ -328,6 +453,29 @@ def test_toxicity(spark):
     assert len(got) == 302 and got[1000]["score"] == got[1001]["score"] < 0.5
     assert sum(p == y for p, y in held) / len(held) >= 0.9
     assert all(r["score"] == 0 for r in toxicity.report(docs, labels.limit(0)).collect())
+    assert toxicity.report(docs.limit(0), labels).count() == 0
+    odd = spark.createDataFrame([(None, "vile " * 500, 1), (0, data[0][1], 2), (0, data[0][1], 3)], "doc_id long, text string, score int").union(docs.limit(3).select("doc_id", "text", toxicity.F.lit(0)))
+    back = toxicity.report(odd, labels).collect()
+    assert len(back) == 6 and {r["held_out"] for r in back if r["doc_id"] is None} == {False} and len({round(r["score"], 6) for r in back if r["doc_id"] == 0}) == 1
+
+
+def test_scores_are_of_the_highest_of_all_windows():
+    """Batches of rows against one window at a time, the last one included."""
+    rng = random.Random(12)
+    rows = ["", "one", _text(rng, 48), _text(rng, 49), _text(rng, 80), _text(rng, 500) + " two", "é " * 200]
+    gen = np.random.default_rng(1)
+    hashes = np.unique(np.concatenate([toxicity.word_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[2] for t in rows]))
+    p = toxicity.fresh_weights(hashes) | {"vocabulary": hashes}
+    p["word"] = gen.standard_normal(p["word"].shape).astype(np.float32)
+    p["word"][0] = 0
+    raw = [t.encode() for t in rows]
+    got = toxicity.score_texts(p, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, score in zip(rows, got, strict=True):
+        w, each = t.split(), []
+        for at in toxicity.window_starts(len(w)):
+            one = " ".join(w[at : at + toxicity.WINDOW]).encode()
+            each.append(toxicity.score_texts(p, np.frombuffer(one, np.uint8), np.array([0, len(one)]))[0])
+        assert abs(max(each) - score) < 1e-5
 
 
 def test_gradients_by_differences():
@@ -351,3 +499,14 @@ def test_gradients_by_differences():
         down = loss()
         p[k][at] += 1e-3
         assert abs((up - down) / 2e-3 - g[k][at]) < 5e-3 * max(1, abs(g[k][at]))
+
+
+def test_internal_names_may_be_columns(spark, docs):
+    """Every name that an operator uses within is kept where the input has it."""
+    names = ["id", "th", "text_", "row", "__row", "__id", "__th", "__h", "__s", "__repeats", "__threshold", "__copy", "__measures", "__measures_", "digest", "__digest", "variant", "n_words", "failed", "key", "group"]
+    wide = docs.select("*", *[near.F.lit(i).alias(n) for i, n in enumerate(names)])
+    for made in (quality.keep(wide), exact.dedup(wide), near.dedup(wide), mixing.mix_sources(wide)):
+        assert made.columns == wide.columns
+        got = made.select(*names).distinct().collect()
+        assert [tuple(r) for r in got] in ([tuple(range(len(names)))], [])
+    assert sorted(r["doc_id"] or -1 for r in exact.dedup(wide).collect()) == sorted(r["doc_id"] or -1 for r in exact.report(docs).filter("kept").collect())
