@@ -16,8 +16,10 @@ from lodeview.plans.query import analyse
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The questions that the single-question queries ask.
-ASKED = "the billing reports with thing screenshot"
-FIND = {"find_topk": ASKED, "find_text": "than ering enter", "find_repo": "gitinsteroid", "find_stats": "a book about stats"}
+ASKED = "the server reports with thing screenshot"
+FIND = {"find_topk": ASKED, "find_text": "than ering enter", "find_repo": "treegrapht", "find_plural": "which recipes were for the travels"}
+#: Questions that are asked together.
+MANY = ("than erings", "eres", "thor-whed", "of the ther", "nothing here matches zzzz", "que verb")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -155,24 +157,30 @@ _NAMES = f"SELECT *, 0 AS phase FROM (SELECT * FROM files WHERE {_like_sql('name
 _PATHS = f"SELECT *, 1 AS phase FROM (SELECT * FROM files WHERE {_like_sql('path', _Q.stems)} ORDER BY modified_at DESC NULLS LAST, id LIMIT 30)"
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Files, repositories, texts and postings as the stored index has them."""
+    t = corpus.stored(spark, sf_dir)
+    return [t.read(name) for name in ("file_records", "repo_records", "text_blobs", "postings")]
+
+
 @_query(f"{_WITH} SELECT id, name FROM ({_NAMES})")
 def name_like_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.name_candidates(corpus.files(spark, sf_dir), _Q).select("id", "name")
+    return search.name_candidates(_tables(spark, sf_dir)[0], _Q).select("id", "name")
 
 
 @_query(f"{_WITH} SELECT id, path FROM ({_PATHS})")
 def path_like_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.path_candidates(corpus.files(spark, sf_dir), _Q).select("id", "path")
+    return search.path_candidates(_tables(spark, sf_dir)[0], _Q).select("id", "path")
 
 
 @_query(f"{_WITH} SELECT id, min(phase)::INTEGER AS phase FROM ({_NAMES} UNION ALL {_PATHS}) GROUP BY id")
 def candidate_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.file_candidates(corpus.files(spark, sf_dir), _Q).select("id", "phase")
+    return search.file_candidates(_tables(spark, sf_dir)[0], _Q).select("id", "phase")
 
 
 @_query(f"""{_WITH} SELECT id, repo_name FROM repos WHERE {_like_sql('repo_name', _Q.stems)} OR {_like_sql("coalesce(remote_url, '')", _Q.stems)} OR {_like_sql('root_path', _Q.stems)} ORDER BY last_commit_at DESC NULLS LAST, id LIMIT 25""")
 def repo_like_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.repo_candidates(corpus.repos(spark, sf_dir), _Q).select("id", "repo_name")
+    return search.repo_candidates(_tables(spark, sf_dir)[1], _Q).select("id", "repo_name")
 
 
 _T = analyse("than erings")
@@ -185,17 +193,38 @@ _LOOSE = f"SELECT *, false AS strict FROM (SELECT * FROM blobs WHERE {' OR '.joi
 
 @_query(f"{_WITH} SELECT source_id, extractor_type, seq FROM ({_LOOSE})")
 def fts_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_matches(corpus.blobs(spark, sf_dir), _T, False).select("source_id", "extractor_type", "seq")
+    return search.text_matches(_tables(spark, sf_dir)[3], _T).orderBy("seq").limit(search.TEXT_CAP).select("source_id", "extractor_type", "seq")
 
 
 @_query(f"{_WITH} SELECT source_id, extractor_type, seq FROM ({_STRICT})")
 def fts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_matches(corpus.blobs(spark, sf_dir), _T, True).select("source_id", "extractor_type", "seq")
+    return search.text_matches(_tables(spark, sf_dir)[3], _T).filter("strict").orderBy("seq").limit(search.TEXT_CAP).select("source_id", "extractor_type", "seq")
 
 
 @_query(f"{_WITH} SELECT source_id, extractor_type, bool_or(strict) AS strict FROM ({_STRICT} UNION ALL {_LOOSE}) GROUP BY source_id, source_type, extractor_type")
 def fts_strict_then_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_candidates(corpus.blobs(spark, sf_dir), _T).select("source_id", "extractor_type", "strict")
+    return search.text_candidates(_tables(spark, sf_dir)[3], _T).select("source_id", "extractor_type", "strict")
+
+
+def _term_sql(term: list[str]) -> str:
+    """Whether the word list ``ws`` holds a term, its parts one after another."""
+    tests = [f"starts_with(ws[i + {k}], '{t}')" if k == len(term) - 1 else f"ws[i + {k}] = '{t}'" for k, t in enumerate(term)]
+    return f"len(list_filter(range(1, len(ws) - {len(term) - 2}), lambda i: {' AND '.join(tests)})) > 0"
+
+
+def _many_sql() -> str:
+    parts = []
+    for n, question in enumerate(MANY):
+        has = [_term_sql(t) for t in analyse(question).index_terms]
+        for strict, test in ((True, " AND ".join(has) if len(has) > 1 else "false"), (False, " OR ".join(has))):
+            parts.append(f"SELECT {n} AS question, source_id, extractor_type, {strict} AS strict FROM (SELECT * FROM words WHERE {test} ORDER BY seq LIMIT 30)")
+    return f"{_WITH}, words AS (SELECT source_id, source_type, extractor_type, seq, {_WORDS_SQL} AS ws FROM blobs) SELECT question::INTEGER AS question, source_id, extractor_type, bool_or(strict) AS strict FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY question, source_id, extractor_type")
+
+
+@_query(_many_sql())
+def fts_many_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many questions, one of them with a phrase, in one job."""
+    return search.text_candidates_of_many(_tables(spark, sf_dir)[3], list(MANY)).select("question", "source_id", "extractor_type", "strict")
 
 
 _PREFIXES = ("tha", "erin", "ver", "que", "mento")
@@ -205,10 +234,9 @@ _PREFIXES = ("tha", "erin", "ver", "que", "mento")
     FROM (SELECT len(list_filter({_WORDS_SQL}, lambda w: starts_with(w, '{p}'))) AS n FROM blobs)""" for p in _PREFIXES))
 def prefix_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many prefixes in one job, through the inverted index."""
-    words = index.postings(corpus.blobs(spark, sf_dir)).groupBy("source_id", "token").count().withColumn("h", F.substring("token", 1, 2))
-    asked = spark.createDataFrame([(p, p[:2]) for p in _PREFIXES], "prefix string, head string")
-    hit = words.join(asked, F.col("h") == F.col("head")).filter(F.startswith("token", "prefix"))
-    return hit.groupBy("prefix").agg(F.countDistinct("source_id").alias("n_texts"), F.sum("count").alias("n_places"))
+    asked = spark.createDataFrame([(p,) for p in _PREFIXES], "prefix string")
+    hit = index.prefix_lookup(_tables(spark, sf_dir)[3], asked)
+    return hit.groupBy("prefix").agg(F.countDistinct("source_id").alias("n_texts"), F.sum(F.size("places")).alias("n_places"))
 
 
 # -- scores ---------------------------------------------------------------------------------------------------
@@ -299,7 +327,7 @@ _F = analyse("biling portl")
 
 @_query(f"{_WITH} SELECT id, round(similarity, 6) AS similarity FROM (SELECT id, {_similar_sql(_F, 'name')} AS similarity FROM (SELECT * FROM files ORDER BY modified_at DESC NULLS LAST, id LIMIT 5000)) WHERE similarity >= 0.72")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuzzy_files(corpus.files(spark, sf_dir), _F).select("id", F.round("similarity", 6).alias("similarity"))
+    return search.fuzzy_files(_tables(spark, sf_dir)[0], _F).select("id", F.round("similarity", 6).alias("similarity"))
 
 
 # -- the whole search -------------------------------------------------------------------------------------
@@ -345,8 +373,8 @@ def _find_sql(question: str) -> str:
 
 
 def _find(question: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, r, b = corpus.files(spark, sf_dir), corpus.repos(spark, sf_dir), corpus.blobs(spark, sf_dir)
-    return search.find(f, r, b, question, snippets=False).drop("why_matched")
+    f, r, b, p = _tables(spark, sf_dir)
+    return search.find(f, r, b, question, postings=p, snippets=False).drop("why_matched")
 
 
 for _name, _question in FIND.items():
@@ -356,14 +384,15 @@ for _name, _question in FIND.items():
 
 @_query()
 def find_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search with reasons and snippets (checked against the full-text engine of SQLite in tests)."""
-    return search.find(corpus.files(spark, sf_dir), corpus.repos(spark, sf_dir), corpus.blobs(spark, sf_dir), "than ering enter")
+    """The search with reasons and snippets; tests hold snippets against those of SQLite's full-text engine."""
+    f, r, b, p = _tables(spark, sf_dir)
+    return search.find(f, r, b, "than ering enter", postings=p)
 
 
 @_query(f"""{_WITH} SELECT source_id, count(*)::BIGINT AS n_hits, (sum(CASE WHEN strict THEN 24 ELSE 0 END) + 35 * count(*))::BIGINT AS points FROM
     (SELECT source_id, bool_or(strict) AS strict FROM ({_STRICT} UNION ALL {_LOOSE}) GROUP BY source_id, source_type, extractor_type) GROUP BY source_id""")
 def text_hit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = search.text_candidates(corpus.blobs(spark, sf_dir), _T)
+    t = search.text_candidates(_tables(spark, sf_dir)[3], _T)
     return t.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_hits"), (F.sum(F.when(F.col("strict"), min(12 * len(_T.words), 70)).otherwise(0)) + 35 * F.count(F.lit(1))).alias("points"))
 
 
@@ -374,7 +403,7 @@ _ONE = "/home/u/Downloads/budget_notes-1.txt"
 def record_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     import hashlib
 
-    one = search.get_record(corpus.files(spark, sf_dir), corpus.repos(spark, sf_dir), corpus.blobs(spark, sf_dir), hashlib.sha1(_ONE.encode()).hexdigest())
+    one = search.get_record(*_tables(spark, sf_dir)[:3], hashlib.sha1(_ONE.encode()).hexdigest())
     return one.select("kind", "id", "path", "name", "modified_at", F.inline("blobs"))
 
 
@@ -383,18 +412,18 @@ _RECENT = "SELECT id AS result_id, 'file' AS result_type, name AS title, path, '
 
 @_query(f"{_WITH} {_RECENT} ORDER BY modified_at DESC NULLS LAST, id LIMIT 20")
 def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.recent(corpus.files(spark, sf_dir))
+    return search.recent(_tables(spark, sf_dir)[0])
 
 
 @_query(f"{_WITH} {_RECENT} WHERE modified_at >= '2026-06-01T00:00:00Z' ORDER BY modified_at DESC NULLS LAST, id LIMIT 100")
 def recent_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.recent(corpus.files(spark, sf_dir), "2026-06-01T00:00:00Z", 500)
+    return search.recent(_tables(spark, sf_dir)[0], "2026-06-01T00:00:00Z", 500)
 
 
 @_query()
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.text_candidates(corpus.blobs(spark, sf_dir), _T)
-    return search.with_snippets(rows, _T).select("source_id", "extractor_type", "snippet")
+    _, _, b, p = _tables(spark, sf_dir)
+    return search.with_snippets(search.text_candidates(p, _T), b, _T).select("source_id", "extractor_type", "snippet")
 
 
 # -- texts ----------------------------------------------------------------------------------------------------
@@ -413,9 +442,9 @@ def limit_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _markup_sql(c: str) -> str:
-    for pattern, by in ((r"</?w:p(?:\s[^>]*)?>", "chr(10)"), (r"<w:tab\b[^>]*>", "chr(9)"), (r"<w:br\b[^>]*>", "chr(10)"), ("<[^>]+>", "''"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"),
-                        ("&apos;", "''''"), (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
-        c = f"regexp_replace({c}, '{pattern}', {by}, 'g')"
+    for pattern, by in (*X.MARKUP, (r"^\s+|\s+$", "")):
+        text = " || ".join("chr(%d)" % ord(x) for x in by) or "''"
+        c = f"regexp_replace({c}, '{pattern}', {text}, 'g')"
     return c
 
 
@@ -448,10 +477,17 @@ def dedupe_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- events ---------------------------------------------------------------------------------------------------
 
 
-@_query(f"""{_WITH}, u AS (SELECT * FROM ev WHERE kind = 'unlink'), a AS (SELECT * FROM ev WHERE kind = 'add'),
-    m AS (SELECT u.event_id AS ue, a.event_id AS ae, u.path AS old_path, a.path AS new_path, u.inode, (epoch_us(u.ts) // 1000) AS gone, (epoch_us(a.ts) // 1000) AS came FROM u JOIN a ON u.inode = a.inode AND (epoch_us(a.ts) // 1000) BETWEEN (epoch_us(u.ts) // 1000) AND (epoch_us(u.ts) // 1000) + 3600000),
-    o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY ue ORDER BY came, ae) = 1)
-    SELECT old_path, new_path, inode, ue, ae FROM o QUALIFY row_number() OVER (PARTITION BY ae ORDER BY gone DESC, ue DESC) = 1""")
+@_query(f"""{_WITH}, e AS (SELECT event_id, path, inode, kind = 'unlink' AS gone, (epoch_us(ts) // 1000) AS ms FROM ev WHERE kind IN ('unlink', 'add')),
+    w AS (SELECT *, CASE WHEN lag(gone) OVER p THEN lag(event_id) OVER p END AS own, lag(ms) OVER p AS own_ms,
+                 last_value(CASE WHEN gone THEN event_id END IGNORE NULLS) OVER (PARTITION BY inode ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k
+          FROM e WINDOW p AS (PARTITION BY path ORDER BY ms, event_id)),
+    a AS (SELECT w.event_id AS ae, w.path, w.inode, w.ms, CASE WHEN w.ms - own_ms <= 3600000 THEN own END AS own, CASE WHEN w.ms - x.ms <= 3600000 AND x.path <> w.path THEN k END AS k, x.path AS old_path
+          FROM w LEFT JOIN e AS x ON w.k = x.event_id WHERE NOT w.gone),
+    m1 AS (SELECT * FROM a WHERE own IS NULL AND k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY ms, ae) = 1),
+    sv AS (SELECT a.*, (m1.k IS NULL OR a.ms < m1.ms OR (a.ms = m1.ms AND a.ae < m1.ae)) AS wins FROM a LEFT JOIN m1 ON a.own = m1.k WHERE a.own IS NOT NULL),
+    m2 AS (SELECT * FROM m1 WHERE k NOT IN (SELECT own FROM sv WHERE wins)),
+    m3 AS (SELECT ae, path, inode, ms, own, k, old_path FROM sv WHERE NOT wins AND k IS NOT NULL AND k NOT IN (SELECT k FROM m2) AND k NOT IN (SELECT own FROM sv WHERE wins) QUALIFY row_number() OVER (PARTITION BY k ORDER BY ms, ae) = 1)
+    SELECT old_path, path AS new_path, inode, k AS ue, ae FROM (SELECT * FROM m2 UNION ALL SELECT * FROM m3)""")
 def rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.rename_pairs(corpus.events(spark, sf_dir), 3_600_000)  # the table's events are minutes apart
 
@@ -470,7 +506,11 @@ def debounce_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.debounce_gaps(corpus.events(spark, sf_dir), 3_600_000)
 
 
-@_query()
+@_query(f"""{_WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, e AS (SELECT path, kind, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS rn FROM ev),
+    r AS (SELECT path, rn, ms AS first_ms, ms AS last_ms, kind, 0 AS burst FROM e WHERE rn = 1
+          UNION ALL SELECT e.path, e.rn, CASE WHEN e.ms > least(r.last_ms + 3600000, r.first_ms + 14400000) THEN e.ms ELSE r.first_ms END, e.ms, e.kind,
+                           r.burst + CASE WHEN e.ms > least(r.last_ms + 3600000, r.first_ms + 14400000) THEN 1 ELSE 0 END FROM r JOIN e ON e.path = r.path AND e.rn = r.rn + 1)
+    SELECT path, CASE WHEN arg_max(kind, rn) = 'unlink' THEN 'delete' ELSE 'upsert' END AS job, min(first_ms) AS first_ms, max(last_ms) AS last_ms, count(*)::BIGINT AS n_events FROM r GROUP BY path, burst""")
 def debounce_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful operator's rule, folded in batch: a burst also ends a fixed time after its first event."""
     from lodeview.streaming.live import debounce_batch

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
-_TOKEN = re.compile(r"[^\W_]+")
+from lodeview.functions.text import ACCENTED, PLAIN
+
+_TOKEN = re.compile(r"(?:[^\W_]|[\u0300-\u036f])+")
+
+
+_FOLD = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])
 
 
 def _folded(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return text.lower().translate(_FOLD)
 
 
 def _matches(words: list[str], terms: list[list[str]]) -> list[tuple[int, int, int]]:
@@ -22,6 +26,14 @@ def _matches(words: list[str], terms: list[list[str]]) -> list[tuple[int, int, i
     return out
 
 
+def _begins(text: str, at: int) -> bool:
+    """Whether a sentence begins at a word: blanks stand before it, and a full stop or a colon before them."""
+    i = at
+    while i and text[i - 1] in " \t\r\n":
+        i -= 1
+    return 0 < i < at and text[i - 1] in ".:"
+
+
 def snippet(text: str | None, terms: list[list[str]], size: int = 12) -> str:
     """At most ``size`` words around matches, which stand in brackets; dots where the text goes on.
 
@@ -34,7 +46,7 @@ def snippet(text: str | None, terms: list[list[str]], size: int = 12) -> str:
     n, hits = len(words), _matches(words, terms)
     if not spans:
         return text
-    sentences = [0] + [i for i in range(1, n) if text[: spans[i][0]].rstrip(" \t\r\n")[-1:] in (".", ":")]
+    sentences = [0] + [i for i in range(1, n) if _begins(text, spans[i][0])]
 
     def score(start: int) -> tuple[int, int]:
         seen: set[int] = set()

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Accented letters of common Latin alphabets and the letters they fold to, for index tokens.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāēīōūčďěňřšťůžőű"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaeioucdenrstuzou"
+
+
+def _fold_table() -> tuple[str, str]:
+    """Small letters that are an ASCII letter with marks, and these letters; then the marks themselves, which fold to nothing."""
+    pairs = []
+    for code in range(0x80, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if base in LOWER and marks and all(map(unicodedata.combining, marks)):
+            pairs.append((chr(code), base))
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(c for c, _ in pairs) + marks, "".join(base for _, base in pairs)
+
+
+#: For translate: letters and marks, and what the first of them become; those without a partner are dropped.
+ACCENTED, PLAIN = _fold_table()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -69,14 +84,16 @@ def limit_content(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, trim_space(cut)).otherwise(c)
 
 
+#: What each piece of word-processor markup stands for, in the order in which pieces are replaced.
+MARKUP = (
+    (r"</?w:p(?:\s[^>]*)?>", "\n"), (r"<w:tab\b[^>]*>", "\t"), (r"<w:br\b[^>]*>", "\n"), (r"<[^>]+>", ""),
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
+)
+
+
 def markup_to_text(c: Column) -> Column:
     """Readable text of word-processor markup: paragraphs and breaks as lines, tags dropped, entities decoded, blanks collapsed."""
-    for pattern, by in (
-        (r"</?w:p(?:\s[^>]*)?>", "\n"), (r"<w:tab\b[^>]*>", "\t"), (r"<w:br\b[^>]*>", "\n"), (r"<[^>]+>", ""),
-        ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
-    ):
-        c = F.regexp_replace(c, pattern, by)
-    return trim_space(c)
+    return trim_space(reduce(lambda text, piece: F.regexp_replace(text, *piece), MARKUP, c))
 
 
 def dedupe_consecutive(arr: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeview.functions.text import basename, extension
+from lodeview.operators import external
 
 # File kinds by extension and by name.
 MARKDOWN = [".md", ".mdx", ".markdown"]
@@ -72,10 +73,10 @@ def wants_ocr(path: Column, size: Column, mode: str) -> Column:
     return {"off": F.lit(False), "screenshots": is_image(path) & is_screenshot(path), "all": is_image(path) & (size <= OCR_BYTES)}[mode]
 
 
-def image_summary(category: Column, captured: Column, created: Column, camera: Column, size: Column, location: Column, gps: Column) -> Column:
+def image_summary(name: Column, category: Column, captured: Column, created: Column, camera: Column, size: Column, location: Column, gps: Column) -> Column:
     line = lambda name, c: F.concat(F.lit(name + ": "), c)
     where = F.coalesce(line("location", location), line("gps", gps))
-    return F.concat_ws("\n", F.lit("image"), line("category", category), F.coalesce(line("captured", captured), line("created", created)), line("camera", camera), line("dimensions", size), where)
+    return F.concat_ws("\n", line("image", name), line("category", category), F.coalesce(line("captured", captured), line("created", created)), line("camera", camera), line("dimensions", size), where)
 
 
 def repo_summary(name: Column, remote: Column, readme: Column, package: Column) -> Column:
@@ -162,18 +163,20 @@ def manifest_text(name: str, raw: str) -> str:
     return ("\n".join(lines) + "\n\n" + raw).strip()
 
 
-_NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+# An ampersand may itself be written as an entity; what it then begins is an entity as well.
+_PIECE = re.compile(r"(</?w:p(?:\s[^>]*)?>|<w:br\b[^>]*>)|(<w:tab\b[^>]*>)|(<[^>]+>)|&(?:amp;|#0*38;|#[xX]0*26;)?(?:#(\d+)|#x([0-9a-fA-F]+)|(lt|gt|quot|apos|amp));")
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def _piece(m: re.Match) -> str:
+    if m.lastindex <= 3:
+        return ("\n", "\t", "")[m.lastindex - 1]
+    return _NAMED[m[6]] if m[6] else chr((int(m[4]) if m[4] else int(m[5], 16)) & 0xFFFF)
 
 
 def markup_text(xml: str) -> str:
-    for pattern, by in ((r"</?w:p(?:\s[^>]*)?>", "\n"), (r"<w:tab\b[^>]*>", "\t"), (r"<w:br\b[^>]*>", "\n"), (r"<[^>]+>", "")):
-        xml = re.sub(pattern, by, xml)
-    char = lambda n: chr(n & 0xFFFF)
-    xml = re.sub(r"&#(\d+);", lambda m: char(int(m[1])), xml)
-    xml = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: char(int(m[1], 16)), xml).replace("&amp;", "&")
-    for name, by in _NAMED.items():
-        xml = xml.replace(name, by)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", xml)).strip()
+    """Readable text of word-processor markup in one pass over its tags and entities."""
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", _PIECE.sub(_piece, xml))).strip()
 
 
 def docx(raw: bytes) -> Extracted:
@@ -244,6 +247,13 @@ def _readable(tokens: list[str]) -> list[str]:
     return [t for i, t in enumerate(flat) if i == 0 or t != flat[i - 1]]
 
 
+def pdf_about(raw: bytes) -> tuple[str | None, int | None]:
+    """Title and page count."""
+    title = re.search(rb"/Title\s*\(((?:\\.|[^\\)])*)\)", raw)
+    count = re.search(rb"/Count\s+(\d+)", raw)
+    return _pdf_string(title[1]) if title else None, int(count[1]) if count else None
+
+
 def pdf(raw: bytes) -> Extracted:
     """Strings of text blocks in (inflated) streams, or else of the whole file."""
     found: list[str] = []
@@ -257,15 +267,33 @@ def pdf(raw: bytes) -> Extracted:
         for block in re.findall(rb"BT(.*?)ET", data, re.S):
             found += pdf_tokens(block)
     lines = _readable(found) or _readable(pdf_tokens(raw))
-    title = re.search(rb"/Title\s*\(((?:\\.|[^\\)])*)\)", raw)
-    count = re.search(rb"/Count\s+(\d+)", raw)
-    about = {"title": _pdf_string(title[1]) if title else None, "pages": int(count[1]) if count else None}
+    about = dict(zip(("title", "pages"), pdf_about(raw), strict=True))
     if not lines:
         return Extracted(reason="no readable text in the document", strategy="none", **about)
     content, cut = limited("\n".join(lines))
     return Extracted(content, truncated=cut, strategy="raw_strings", **about)
 
 
+def read_whole(path: str, most: int | None = None) -> bytes | None:
+    """A file's bytes, or its first ones; None if it can't be read."""
+    try:
+        with open(path, "rb") as f:
+            return f.read() if most is None else f.read(most)
+    except OSError:
+        return None
+
+
+def extract_file(path: str, kind_: str) -> Extracted:
+    """The text of a file, a PDF's by an external program if one finds any."""
+    raw = read_whole(path, None if kind_ in ("pdf", "docx") else MAX_BYTES + 1)
+    printed = external.pdf_text(path) if kind_ == "pdf" and raw is not None else None
+    content, cut = limited(normalized(printed[0])) if printed else ("", False)
+    if not content:
+        return extract(path, kind_, raw)
+    title, pages = pdf_about(raw)
+    return Extracted(content, truncated=cut, strategy=printed[1], title=title, pages=pages)
+
+
 def extract(path: str, kind_: str, raw: bytes | None) -> Extracted:
     """The text of a file's first MAX_BYTES (PDF and DOCX: of all)."""
     if raw is None:
@@ -294,18 +322,19 @@ SCHEMA = "path string, extractor_type string, success boolean, content string, r
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """(path, content bytes) to one row per supported file: SCHEMA."""
-    supported = files.withColumn("kind", kind(F.col("path"))).filter("kind <> 'unsupported'").select("path", "kind", "content")
+    """(path) or (path, content bytes) to one row per supported file: SCHEMA. Without bytes, files are read where they are parsed."""
+    given = "content" in files.columns
+    supported = files.withColumn("kind", kind(F.col("path"))).filter("kind <> 'unsupported'").select("path", "kind", *["content"] * given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 rows = []
-                for path, k, raw in zip(*(c.to_pylist() for c in batch.slice(begin, 64).columns), strict=True):
-                    x = extract(path, k, raw)
+                for path, k, *raw in zip(*(c.to_pylist() for c in batch.slice(begin, 64).columns), strict=True):
+                    x = extract(path, k, raw[0]) if given else extract_file(path, k)
                     rows.append((path, EXTRACTORS[k], x.success, x.content, x.reason, x.encoding, x.truncated, x.title, x.pages, x.strategy))
-                kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
-                names = [f.split()[0] for f in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return supported.mapInArrow(run, SCHEMA)

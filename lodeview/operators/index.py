@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeview.functions.text import trim_space
+from lodeview.functions.text import tokens, trim_space
 
 KEY = ["source_id", "source_type", "extractor_type"]
 
@@ -91,44 +91,98 @@ def delete_paths(files: DataFrame, blobs: DataFrame, gone: DataFrame) -> tuple[D
     return files.join(gone.select("path"), "path", "left_anti"), blobs.join(ids, ["source_id", "source_type"], "left_anti")
 
 
+def paired_events(events: DataFrame, grace_ms: int = 1000) -> DataFrame:
+    """(what, old_path, new_path, inode, ue, ae) for unlinks that an add answers within the grace time, each used once.
+
+    ``what`` is ``change`` where the next of a path's adds and unlinks is its own add (an atomic save), else ``rename``
+    where the add has the same inode and device as the last such unlink before it and is the first to answer it. An
+    unlink with both kinds of answer takes the earlier one.
+    """
+    device = F.col("device") if "device" in events.columns else F.lit(1).cast("long")
+    e = events.filter("kind IN ('unlink', 'add')").select("event_id", "path", "inode", device.alias("device"), (F.col("kind") == "unlink").alias("gone"), F.unix_millis("ts").alias("ms"))
+    at = F.struct("ms", "event_id")
+    order = ("ms", "event_id")
+    last = F.struct(F.col("event_id").alias("ue"), F.col("path").alias("old_path"), F.col("ms").alias("gone_ms"))
+    before = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = e.withColumn("u", F.lag(F.when(F.col("gone"), last)).over(Window.partitionBy("path").orderBy(*order)))
+    keyed = F.last(F.when(F.col("gone"), last), True).over(before("inode", "device"))
+    met = own.withColumn("k", F.when(F.col("inode").isNotNull() & F.col("device").isNotNull(), keyed)).filter("NOT gone")
+    soon = lambda u: F.col(f"{u}.ue").isNotNull() & (F.col("ms") - F.col(f"{u}.gone_ms") <= grace_ms)
+    met = met.select("event_id", "path", "inode", at.alias("at"), F.when(soon("u"), F.col("u")).alias("u"), F.when(soon("k") & (F.col("k.old_path") != F.col("path")), F.col("k")).alias("k"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        """The first add of each unlink by inode."""
+        return rows.filter("k IS NOT NULL").groupBy(F.col("k.ue").alias("ue")).agg(F.min(F.struct("at", F.col("path").alias("new_path"), "inode", F.col("k.old_path").alias("old_path"))).alias("r"))
+
+    same = met.filter("u IS NOT NULL").select(F.col("u.ue").alias("ue"), "at", "path", "inode", F.col("event_id").alias("ae"))
+    moved = first(met.filter("u IS NULL"))
+    saved = same.join(moved.select(F.col("ue").alias("m"), F.col("r.at").alias("mat")), F.col("ue") == F.col("m"), "left").withColumn("wins", F.coalesce(F.col("at") < F.col("mat"), F.lit(True)))
+    lost = saved.filter("wins").select(F.col("ue").alias("s"))
+    moved = moved.join(lost, F.col("ue") == F.col("s"), "left_anti")
+    # adds whose own unlink went to a rename may answer another unlink that is still open
+    freed = met.join(saved.filter("NOT wins").select(F.col("ae").alias("f")), F.col("event_id") == F.col("f"), "left_semi")
+    taken = moved.select("ue").union(lost)
+    moved = moved.unionByName(first(freed).join(taken.withColumnRenamed("ue", "t"), F.col("ue") == F.col("t"), "left_anti"))
+    renames = moved.select(F.lit("rename").alias("what"), "r.old_path", "r.new_path", "r.inode", "ue", F.col("r.at.event_id").alias("ae"))
+    return renames.unionByName(saved.filter("wins").select(F.lit("change").alias("what"), F.col("path").alias("old_path"), F.col("path").alias("new_path"), "inode", "ue", "ae"))
+
+
 def rename_pairs(events: DataFrame, grace_ms: int = 1000) -> DataFrame:
-    """(old_path, new_path, ts): an unlink and the first add of the same inode within the grace time, each used once."""
-    millis = F.unix_millis("ts")
-    unlink = events.filter("kind = 'unlink' AND inode IS NOT NULL").select("inode", F.col("path").alias("old_path"), millis.alias("gone"), F.col("event_id").alias("ue"))
-    add = events.filter("kind = 'add' AND inode IS NOT NULL").select(F.col("inode").alias("i"), F.col("path").alias("new_path"), millis.alias("came"), F.col("event_id").alias("ae"))
-    slot = lambda c: F.floor(c / grace_ms)
-    near = unlink.withColumn("slot", F.explode(F.array(slot(F.col("gone")), slot(F.col("gone")) + 1)))  # an add lies in the unlink's slot or the next
-    met = near.join(add.withColumn("s", slot(F.col("came"))), (F.col("inode") == F.col("i")) & (F.col("slot") == F.col("s")))
-    met = met.filter((F.col("came") >= F.col("gone")) & (F.col("came") <= F.col("gone") + grace_ms))
-    by_unlink = Window.partitionBy("ue").orderBy("came", "ae")
-    by_add = Window.partitionBy("ae").orderBy(F.desc("gone"), F.desc("ue"))
-    once = met.withColumn("n", F.row_number().over(by_unlink)).filter("n = 1").withColumn("n", F.row_number().over(by_add)).filter("n = 1")
-    return once.select("old_path", "new_path", "inode", "ue", "ae")
+    """(old_path, new_path, inode, ue, ae) of renames."""
+    return paired_events(events, grace_ms).filter("what = 'rename'").drop("what")
+
+
+def net_renames(renames: DataFrame) -> DataFrame:
+    """(old_path, new_path): renames (old_path, new_path, ue, ae) of one batch with those in a chain followed to its end."""
+    moves = renames.select("old_path", "new_path", "ue", "ae")
+    while True:
+        later = moves.select(F.col("old_path").alias("o"), F.col("new_path").alias("n"), F.col("ue").alias("u"), F.col("ae").alias("e"))
+        met = moves.join(later, (F.col("new_path") == F.col("o")) & (F.col("u") > F.col("ae")))
+        if met.isEmpty():
+            break
+        step = met.groupBy("old_path", "new_path", "ue", "ae").agg(F.min(F.struct("u", "e", "n")).alias("x"))
+        follows = moves.join(step.select(F.col("ue").alias("p"), "x"), F.col("ue") == F.col("p"), "left")
+        used = step.select(F.col("x.u").alias("q"))
+        moves = follows.join(used, F.col("ue") == F.col("q"), "left_anti").select("old_path", F.coalesce("x.n", "new_path").alias("new_path"), "ue", F.coalesce("x.e", "ae").alias("ae"))
+    return moves.filter("old_path <> new_path").groupBy("old_path").agg(F.max_by("new_path", "ae").alias("new_path"))
 
 
 def apply_renames(files: DataFrame, blobs: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files and texts moved to their new paths without being read again; what stood there goes first.
+    """Files and texts moved to their new paths at once, without being read again.
 
-    Moved texts come last in order of insertion.
+    What stood at a new path goes first, unless it moves itself (as in a swap). Of several files that move to one path
+    the last stays. Moved texts come last in order of insertion.
     """
-    moves = renames.select(F.col("old_path").alias("op"), F.col("new_path").alias("np"))
-    clear = files.join(moves, F.col("path") == F.col("np"), "left_anti")
-    met = clear.join(moves, F.col("path") == F.col("op"), "left")
+    moves = renames.filter("old_path <> new_path").select(F.col("old_path").alias("op"), F.col("new_path").alias("np"))
+    moves = moves.join(files.select("path"), F.col("op") == F.col("path"), "left_semi")
+    moves = moves.groupBy("np").agg(F.max("op").alias("op"))
+    stale = moves.select(F.col("np").alias("s")).join(moves.select("op"), F.col("s") == F.col("op"), "left_anti")
+    met = files.join(stale, F.col("path") == F.col("s"), "left_anti").join(moves, F.col("path") == F.col("op"), "left")
     moved = F.col("np").isNotNull()
     name = F.substring_index("np", "/", -1)
     suffix = F.nullif(F.regexp_extract(name, r"^.+\.([^.]*)$", 1), F.lit(""))
     new = {"id": F.sha1("np"), "path": F.col("np"), "name": name, "extension": suffix}
     out = met.select(*[F.when(moved, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in files.columns])
-    ids = moves.select(F.sha1("op").alias("from"), F.sha1("np").alias("to"))
-    stay = blobs.join(ids.select(F.col("to").alias("source_id")), "source_id", "left_anti")
+    ids = moves.select(F.sha1("op").alias("from"), F.sha1("np").alias("to"), F.lit("file").alias("t"))
+    gone = stale.select(F.sha1("s").alias("source_id"), F.lit("file").alias("source_type"))
+    stay = blobs.join(gone, ["source_id", "source_type"], "left_anti")
     top = F.broadcast(blobs.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top")))  # one row
-    shifted = stay.join(ids, F.col("source_id") == F.col("from"), "left").crossJoin(top)
+    shifted = stay.join(ids, (F.col("source_id") == F.col("from")) & (F.col("source_type") == F.col("t")), "left").crossJoin(top)
     texts = shifted.select(
         *[F.coalesce("to", "source_id").alias(c) if c == "source_id" else F.when(F.col("to").isNotNull(), F.col("top") + 1 + F.col("seq")).otherwise(F.col("seq")).alias(c) if c == "seq" else F.col(c) for c in blobs.columns]
     )
     return out, texts
 
 
+def updated_postings(old: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The index after texts changed from one version of the blobs to another: only those that changed are split into tokens."""
+    same = [*KEY, "seq", "content"]
+    fresh = after.join(before.select(*same), same, "left_anti")
+    left = old.join(before.select(*same).join(after.select(*same), same, "left_anti").select(*KEY, "seq"), [*KEY, "seq"], "left_anti")
+    every = left.select("token", "seq", *KEY, "places").unionByName(postings(fresh).select("token", "seq", *KEY, "places"))
+    return every.repartitionByRange("token", "seq").sortWithinPartitions("token", "seq")
+
+
 def debounce_gaps(events: DataFrame, gap_ms: int = 250) -> DataFrame:
     """Jobs per path where only the quiet gap ends a burst: (path, kind of the last event, first and last time, events)."""
     order = Window.partitionBy("path").orderBy("ms", "event_id")
@@ -139,15 +193,20 @@ def debounce_gaps(events: DataFrame, gap_ms: int = 250) -> DataFrame:
 
 
 def postings(blobs: DataFrame) -> DataFrame:
-    """The inverted index: (token, source key, seq, place), clustered by token."""
-    from lodeview.functions.text import tokens
+    """The inverted index (token, seq, source key, places), in order of token and insertion.
 
-    return blobs.select(*KEY, "seq", F.posexplode(tokens(F.col("content"))).alias("place", "token"))
+    Rows are dealt by ranges of token and place of insertion, so that a frequent token is shared by several tasks; the
+    aggregation needs no exchange of its own.
+    """
+    words = blobs.select(*KEY, "seq", F.posexplode(tokens(F.col("content"))).alias("place", "token")).repartitionByRange("token", "seq")
+    return words.groupBy("token", "seq", *KEY).agg(F.sort_array(F.collect_list("place")).alias("places")).sortWithinPartitions("token", "seq")  # bounded by the text's own words
 
 
 def prefix_lookup(index: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Texts by prefix, for many prefixes at once: prefixes meet the vocabulary by their first two letters, then the index by token."""
-    vocabulary = index.select("token").distinct().withColumn("head", F.substring("token", 1, 2))
-    asked = prefixes.withColumn("h", F.substring("prefix", 1, 2))
-    hit = vocabulary.join(asked, F.col("head") == F.col("h")).filter(F.startswith("token", "prefix")).select("token", "prefix")
-    return index.join(hit, "token").select("prefix", *KEY, "seq").distinct()
+    """Postings by prefix, for many prefixes at once: prefixes meet the vocabulary by their first two letters, then the index by token."""
+    head = F.substring("prefix", 1, 2)
+    long_, short = prefixes.filter(F.length("prefix") > 1), prefixes.filter(F.length("prefix") == 1)
+    vocabulary = index.select("token").distinct()
+    near = lambda of, n: vocabulary.withColumn("head", F.substring("token", 1, n)).join(of.withColumn("h", F.substring(head, 1, n)), F.col("head") == F.col("h"))
+    hit = near(long_, 2).union(near(short, 1)).filter(F.startswith("token", "prefix")).select(F.col("token").alias("t"), "prefix")
+    return index.join(hit, F.col("token") == F.col("t")).drop("t")

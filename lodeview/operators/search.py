@@ -1,10 +1,12 @@
 """Ranked search: candidates, overlay of scores, reasons, and the best ten.
 
 The caps on candidates are part of what a result is and are kept. Each is a
-top-k, which Spark merges from one short list per task. What lies behind them
-works on these bounded lists: they are held in one partition, so that windows and
-joins over them need no exchange, and tables meet them as broadcasts of at most
-the capped number of rows.
+top-k, which Spark merges from one short list per task. Texts are found through
+the stored inverted index: a question's terms are pushed down to the scan as
+equalities and prefixes of tokens, which rows in order of token answer from a few
+row groups, and strict and loose matches come from one aggregation. The at most
+60 text candidates come to the driver, so that texts are read by their places and
+tables meet the candidates as a local relation.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeview.functions.text import ascii_lower, tokens
 from lodeview.functions.snippet import snippet
+from lodeview.functions.text import ascii_lower
 from lodeview.operators import scoring as S
+from lodeview.operators.index import KEY, prefix_lookup
+from lodeview.operators.index import postings as index_of
 from lodeview.plans.query import Question, analyse
 
 # How many candidates of each kind count.
@@ -53,49 +57,91 @@ def path_candidates(files: DataFrame, q: Question) -> DataFrame:
 def file_candidates(files: DataFrame, q: Question) -> DataFrame:
     """Names, then paths; the first row of an id counts."""
     both = _ranked(name_candidates(files, q), "modified_at", 0).unionByName(_ranked(path_candidates(files, q), "modified_at", 1))
-    return both.coalesce(1).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("phase"))).filter("nth = 1").drop("nth")
+    return both.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("phase"))).filter("nth = 1").drop("nth")
 
 
 def repo_candidates(repos: DataFrame, q: Question) -> DataFrame:
     return _top(repos.filter(like_any(q, F.col("repo_name"), F.coalesce("remote_url", F.lit("")), F.col("root_path"))), REPO_CAP, "last_commit_at")
 
 
-def has_term(words: Column, term: list[str]) -> Column:
-    """Whether index tokens hold a term: adjacent tokens, the last one as a prefix."""
-    if len(term) == 1:
-        return F.exists(words, lambda w: w.startswith(term[0]))
-    at = F.sequence(F.lit(1), F.size(words) - len(term) + 1)
-    follows = lambda i: reduce(and_, [F.get(words, i + j - 1).startswith(t) if j == len(term) - 1 else F.get(words, i + j - 1) == t for j, t in enumerate(term)])
-    return F.when(F.size(words) >= len(term), F.exists(at, follows)).otherwise(False)
+def _is(term: list[str], i: int) -> Column:
+    """Whether a token is part i of a term; the last part is a prefix."""
+    return F.startswith("token", F.lit(term[i])) if i == len(term) - 1 else F.col("token") == term[i]
 
 
-def text_matches(blobs: DataFrame, q: Question, strict: bool) -> DataFrame:
-    """The first texts, in the order of their insertion, that hold all (strict) or any of the terms."""
-    terms = q.index_terms
-    if not terms or (strict and len(terms) < 2):
-        return blobs.limit(0)
-    words = tokens(F.col("content"))
-    test = reduce(and_ if strict else or_, [has_term(F.col("words"), t) for t in terms])
-    return blobs.withColumn("words", words).filter(test).drop("words").orderBy("seq").limit(TEXT_CAP)
+def _less(places: str, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
 
 
-def text_candidates(blobs: DataFrame, q: Question) -> DataFrame:
-    """Strict matches, then loose ones that aren't among them."""
-    both = text_matches(blobs, q, True).withColumn("strict", F.lit(True)).unionByName(text_matches(blobs, q, False).withColumn("strict", F.lit(False)))
-    key = Window.partitionBy("source_type", "source_id", "extractor_type").orderBy(F.desc("strict"), "seq")
-    kept = both.coalesce(1).withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("strict"), "seq")))
+def _holds(term: list[str]) -> Column:
+    """Aggregate: whether a text holds the term, its parts one after another."""
+    if len(term) == 1:
+        return F.coalesce(F.bool_or(_is(term, 0)), F.lit(False))
+    starts = [F.flatten(F.collect_list(F.when(_is(term, i), _less("places", i)))) for i in range(len(term))]
+    return F.size(reduce(F.array_intersect, starts)) > 0
 
 
-def with_snippets(rows: DataFrame, q: Question) -> DataFrame:
+def text_matches(postings: DataFrame, q: Question) -> DataFrame:
+    """Texts (source key, seq) that hold any of the terms, and ``strict``: whether they hold all of two or more."""
+    terms = q.index_terms
+    if not terms:
+        return postings.select(*KEY, "seq", F.lit(False).alias("strict")).limit(0)
+    asked = postings.filter(reduce(or_, [_is(t, i) for t in terms for i in range(len(t))]))
+    held = asked.groupBy(*KEY, "seq").agg(*[_holds(t).alias(f"h{j}") for j, t in enumerate(terms)])
+    flags = [F.col(f"h{j}") for j in range(len(terms))]
+    return held.filter(reduce(or_, flags)).select(*KEY, "seq", (reduce(and_, flags) & F.lit(len(terms) > 1)).alias("strict"))
+
+
+def text_candidates(postings: DataFrame, q: Question) -> DataFrame:
+    """The first strict matches in the order of their insertion, then the first of all that aren't among them."""
+    found = text_matches(postings, q)
+    strict, loose = found.filter("strict").orderBy("seq").limit(TEXT_CAP), found.withColumn("strict", F.lit(False)).orderBy("seq").limit(TEXT_CAP)
+    key = Window.partitionBy(*KEY).orderBy(F.desc("strict"), "seq")
+    kept = strict.unionByName(loose).withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("strict"), "seq")))  # 60 rows at most
+
+
+def text_candidates_of_many(postings: DataFrame, questions: list[str]) -> DataFrame:
+    """(question, source key, seq, strict, place) for many questions in one job.
+
+    All parts of all terms meet the vocabulary once and the index once; the caps are rank limits, which Spark applies
+    within each task before rows are exchanged.
+    """
+    asked = {i: analyse(x).index_terms for i, x in enumerate(questions)}
+    parts = [(i, j, k, len(terms), len(t), part, k == len(t) - 1) for i, terms in asked.items() for j, t in enumerate(terms) for k, part in enumerate(t)]
+    probes = postings.sparkSession.createDataFrame(parts, "question int, term int, part int, terms int, parts int, prefix string, last boolean")
+    met = prefix_lookup(postings, probes.select("prefix").distinct()).join(F.broadcast(probes.withColumnRenamed("prefix", "p")), F.col("prefix") == F.col("p"))
+    met = met.filter(F.col("last") | (F.col("token") == F.col("prefix")))
+    by_part = met.groupBy("question", "term", "terms", "parts", *KEY, "seq", "part").agg(F.flatten(F.collect_list(F.transform("places", lambda p: p - F.col("part")))).alias("starts"))
+    by_term = by_part.groupBy("question", "term", "terms", "parts", *KEY, "seq").agg(F.collect_list("starts").alias("all"))
+    common = F.aggregate(F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))), F.get("all", F.lit(0)), F.array_intersect)
+    held = by_term.filter((F.size("all") == F.col("parts")) & (F.size(common) > 0)).groupBy("question", "terms", *KEY, "seq").agg(F.count(F.lit(1)).alias("n"))
+    found = held.select("question", *KEY, "seq", ((F.col("n") == F.col("terms")) & (F.col("terms") > 1)).alias("strict"))
+    by = Window.partitionBy("question").orderBy("seq")
+    capped = [x.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= TEXT_CAP).drop("nth") for x in (found.filter("strict"), found.withColumn("strict", F.lit(False)))]
+    key = Window.partitionBy("question", *KEY).orderBy(F.desc("strict"), "seq")
+    kept = capped[0].unionByName(capped[1]).withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("strict"), "seq")))
+
+
+def _local(rows: DataFrame) -> DataFrame:
+    """A list of bounded length as a local relation."""
+    return rows.sparkSession.createDataFrame(rows.toArrow())
+
+
+def with_snippets(rows: DataFrame, blobs: DataFrame, q: Question) -> DataFrame:
+    """Candidates (60 at most) with the stretch of their text that shows a match best; texts are read by place of insertion."""
     terms = q.index_terms
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(snippet=[snippet(c, terms) for c in b["content"]])[["source_id", "extractor_type", "snippet"]]
+            yield b.assign(snippet=[snippet(c, terms) for c in b["content"]])[[*KEY, "snippet"]]
 
-    made = rows.select("source_id", "extractor_type", "content").mapInPandas(run, "source_id string, extractor_type string, snippet string")
-    return rows.drop("content").join(F.broadcast(made), ["source_id", "extractor_type"])
+    held = _local(rows)
+    places = [r["seq"] for r in held.select("seq").collect()]
+    texts = blobs.filter(F.col("seq").isin(places)).select(*KEY, "content")
+    made = texts.mapInPandas(run, "source_id string, source_type string, extractor_type string, snippet string")
+    return held.join(F.broadcast(_local(made)), KEY)
 
 
 def fuzzy_files(files: DataFrame, q: Question) -> DataFrame:
@@ -139,10 +185,11 @@ def merge_text(base: DataFrame, texts: DataFrame, files: DataFrame, repos: DataF
     )
     # a result by name has a parent of its own, so texts without one are left out by inner joins; at most 60 rows are broadcast
     of = lambda kind: F.broadcast(per.filter(F.col("source_type") == kind))
+    # each side ends in a limit, which gathers what may come from all of a table's tasks
     about_files = files.select(F.col("id").alias("source_id"), F.col("path").alias("p"), F.col("name").alias("t"), F.col("modified_at").alias("m")).join(of("file"), "source_id")
     about_repos = repos.select(F.col("id").alias("source_id"), F.col("root_path").alias("p"), F.col("repo_name").alias("t"), F.col("last_commit_at").alias("m")).join(of("repo"), "source_id")
-    found = about_files.unionByName(about_repos).coalesce(1)
-    met = base.coalesce(1).join(found, F.col("result_id") == F.col("source_id"), "full_outer")
+    found = about_files.unionByName(about_repos).limit(2 * TEXT_CAP)
+    met = base.join(found, F.col("result_id") == F.col("source_id"), "full_outer")
     repo = F.col("source_type") == "repo"
     own = F.when(repo, 135 + S.path_quality(F.col("p"), True)).otherwise(125 + S.path_quality(F.col("p")))
     new = F.col("result_id").isNull()
@@ -171,18 +218,21 @@ def fuzzy_results(files: DataFrame, repos: DataFrame, q: Question) -> DataFrame:
         (72 + S.half_up(F.col("similarity") * 55) + S.path_quality(F.col("root_path"), True)).cast("int").alias("score"), F.col("last_commit_at").alias("last_modified"), "phase", "place",
         F.concat(F.lit("Matched similar repo name ("), percent, F.lit("similarity)"), remote).alias("reason"),
     )
-    return of_files.unionByName(of_repos).coalesce(1)
+    return of_files.unionByName(of_repos)
+
 
+def find(files: DataFrame, repos: DataFrame, blobs: DataFrame, question: str, *, postings: DataFrame | None = None, snippets: bool = True) -> DataFrame:
+    """The ten best results for a question, with score and reason; no rows for a blank one.
 
-def find(files: DataFrame, repos: DataFrame, blobs: DataFrame, question: str, *, snippets: bool = True) -> DataFrame:
-    """The ten best results for a question, with score and reason; no rows for a blank one."""
+    ``postings`` is the stored index of ``blobs``; without it one is made for this question.
+    """
     q = analyse(question)
-    texts = text_candidates(blobs, q)
-    texts = with_snippets(texts, q) if snippets else texts.withColumn("snippet", F.lit(""))
+    texts = text_candidates(index_of(blobs) if postings is None else postings, q)
+    texts = with_snippets(texts, blobs, q) if snippets else _local(texts).withColumn("snippet", F.lit(""))
     base = file_results(files, q).unionByName(repo_results(repos, q))
     named = merge_text(base, texts, files, repos, q)
     # each id once: a result by name or text before one by similarity
-    every = named.unionByName(fuzzy_results(files, repos, q).select(*_RESULT)).coalesce(1)
+    every = named.unionByName(fuzzy_results(files, repos, q).select(*_RESULT))
     every = every.withColumn("nth", F.row_number().over(Window.partitionBy("result_id").orderBy(F.col("phase") > 3, "phase"))).filter("nth = 1").drop("nth")
     best = every.filter(F.lit(bool(q.text))).orderBy(F.desc("score"), "phase", "place").limit(RESULTS)
     return best.select("result_id", "result_type", "title", "path", F.col("reason").alias("why_matched"), "score", "last_modified")

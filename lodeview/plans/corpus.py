@@ -7,6 +7,10 @@ sides of a comparison start from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeview.operators.index import postings
+from lodeview.sources.tables import Tables, private_folder
 
 _STAMP = "concat('2026-', lpad(CAST({k} % 12 + 1 AS STRING), 2, '0'), '-', lpad(CAST({k} % 28 + 1 AS STRING), 2, '0'), 'T', lpad(CAST({k} % 24 AS STRING), 2, '0'), ':', lpad(CAST({k} % 60 AS STRING), 2, '0'), ':00.000Z')"
 
@@ -35,7 +39,7 @@ SELECT sha1(root_path) AS id, root_path, repo_name, remote_url, current_branch,
 FROM (SELECT s_suppkey, concat(CASE WHEN s_suppkey % 5 = 0 THEN '/home/u/work/vendor/' ELSE '/home/u/projects/' END, repo_name) AS root_path, repo_name,
              CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('https://git.example.com/', repo_name, '.git') END AS remote_url,
              CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'main' END AS current_branch, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE {_STAMP.format(k="(s_suppkey * 5)")} END AS last_commit_at
-      FROM (SELECT s_suppkey, concat(CASE s_suppkey % 6 WHEN 0 THEN 'gitonsteroid' WHEN 1 THEN 'serverless' WHEN 2 THEN 'billing-api' WHEN 3 THEN 'portal_ui' WHEN 4 THEN 'quantum.sim' ELSE 'dotfiles' END,
+      FROM (SELECT s_suppkey, concat(CASE s_suppkey % 6 WHEN 0 THEN 'treegraft' WHEN 1 THEN 'lambdaworks' WHEN 2 THEN 'ledger-api' WHEN 3 THEN 'harbour_ui' WHEN 4 THEN 'orbit.sim' ELSE 'dotfiles' END,
                                      CASE WHEN s_suppkey < 7 THEN '' ELSE concat('-', CAST(s_suppkey AS STRING)) END) AS repo_name FROM supplier) AS a) AS b
 """
 
@@ -77,3 +81,19 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of(spark, sf_dir, EVENTS, "events")
+
+
+_STORED: dict[tuple[str, str], Tables] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Tables:
+    """The corpus as an index on disk, made once for a session and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        tables = Tables(spark, private_folder(spark, "corpus"))
+        texts = blobs(spark, sf_dir).withColumn("id", F.sha1(F.concat_ws(":", "source_id", "source_type", "extractor_type"))).repartitionByRange("seq").sortWithinPartitions("seq")
+        null = F.lit(None).cast("string")
+        made = tables.write_all({"file_records": files(spark, sf_dir).withColumn("accessed_at", null), "repo_records": repos(spark, sf_dir), "text_blobs": texts})
+        tables.write("postings", postings(made["text_blobs"]))
+        _STORED[key] = tables
+    return _STORED[key]
