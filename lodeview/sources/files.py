@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import os
 import re
+import stat
+from collections import deque
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -59,6 +62,7 @@ class FileReader(DataSourceReader):
         self.match = re.compile("|".join(map(to_regex, _lines(options, "match"))) or "")
         self.dotfiles = options.get("dotfiles", "false") == "true"
         self.read_bytes = int(options.get("read_bytes", 0))
+        self.parts = int(options.get("parts", 64))
 
     def _left_out(self, path: str, name: str, folder: bool) -> bool:
         return (name.startswith(".") and not self.dotfiles) or bool(self.out.match(path + "/x" if folder else path))
@@ -71,12 +75,14 @@ class FileReader(DataSourceReader):
             return []
 
     def partitions(self) -> Sequence[InputPartition]:
-        parts: list[InputPartition] = []
-        for root in self.roots:
-            if os.path.isdir(root):
-                parts.append(Folder(root, root, False))
-                parts += [Folder(root, e.path, True) for e in self._entries(root) if e.is_dir(follow_symlinks=False) and not self._left_out(e.path, e.name, True)]
-        return parts or [Folder("", "", False)]
+        """Folders to walk: a large tree is opened level by level until there are ``parts`` of them or no deeper ones."""
+        flat: list[InputPartition] = []
+        deep = deque((root, root) for root in self.roots if os.path.isdir(root))
+        while deep and len(flat) + len(deep) < self.parts:
+            root, path = deep.popleft()
+            flat.append(Folder(root, path, False))
+            deep += [(root, e.path) for e in self._entries(path) if e.is_dir(follow_symlinks=False) and not self._left_out(e.path, e.name, True)]
+        return [*flat, *(Folder(root, path, True) for root, path in deep)] or [Folder("", "", False)]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         stack = [partition.path] if partition.path else []
@@ -105,13 +111,34 @@ class FileReader(DataSourceReader):
         return tuple(row[c] for c in self.columns)
 
 
-def listing(spark: SparkSession, roots: Sequence[str], *, excludes: Sequence[str] = tuple(DEFAULT_EXCLUDES), match: Sequence[str] = (), dotfiles: bool = False, read_bytes: int = 0) -> DataFrame:
+def listing(spark: SparkSession, roots: Sequence[str], *, excludes: Sequence[str] = tuple(DEFAULT_EXCLUDES), match: Sequence[str] = (), dotfiles: bool = False, read_bytes: int = 0, parts: int = 64) -> DataFrame:
     """Files below ``roots``; with ``read_bytes`` their first bytes as well."""
     spark.dataSource.register(FileListing)
-    options = {"roots": "\n".join(roots), "excludes": "\n".join(excludes), "match": "\n".join(match), "dotfiles": str(dotfiles).lower(), "read_bytes": str(read_bytes)}
+    options = {"roots": "\n".join(roots), "excludes": "\n".join(excludes), "match": "\n".join(match), "dotfiles": str(dotfiles).lower(), "read_bytes": str(read_bytes), "parts": str(parts)}
     return spark.read.format("files").options(**options).load()
 
 
 def git_configs(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """The .git/config files of repositories below ``roots``."""
     return listing(spark, roots, excludes=REPO_EXCLUDES, match=["**/.git/config"], dotfiles=True)
+
+
+def stats(paths: DataFrame) -> DataFrame:
+    """(path, source_root) of those that are files now, with the other columns of a listing."""
+    columns = ["path", "name", "source_root", "size_bytes", "created_ms", "modified_ms", "accessed_ms", "inode", "device"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, root in zip(b["path"], b["source_root"], strict=True):
+                try:
+                    s = os.stat(path, follow_symlinks=False)
+                except OSError:
+                    continue
+                if stat.S_ISREG(s.st_mode):
+                    ms = [ns // 1_000_000 for ns in (getattr(s, "st_birthtime_ns", s.st_ctime_ns), s.st_mtime_ns, s.st_atime_ns)]
+                    out.append((path, os.path.basename(path), root, s.st_size, *ms, s.st_ino, s.st_dev))
+            yield pd.DataFrame(out, columns=columns)
+
+    kinds = ["string"] * 3 + ["long"] * 6
+    return paths.select("path", "source_root").mapInPandas(run, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds, strict=True)))

@@ -31,11 +31,14 @@ def _job(kind: str) -> str:
 class Burst:
     """The pending job of a path, and the rule that ends it."""
 
-    def __init__(self, quiet: int, most: int, first: int, last: int, kind: str, n: int):
-        self.quiet, self.most, self.first, self.last, self.kind, self.n = quiet, most, first, last, kind, n
+    def __init__(self, quiet: int, most: int, first: int, last: int, kind: str, n: int, grace: int = 0):
+        self.quiet, self.most, self.first, self.last, self.kind, self.n, self.grace = quiet, most, first, last, kind, n, grace
 
     @property
     def due(self) -> int:
+        """When the job is given out; a delete waits ``grace`` for an add that takes it back or has taken the file elsewhere."""
+        if self.kind == "unlink" and self.grace:
+            return self.last + self.grace + self.quiet
         return min(self.last + self.quiet, self.first + self.most)
 
     def take(self, ms: int, kind: str) -> bool:
@@ -87,8 +90,8 @@ def debounce_batch(events: DataFrame, quiet: int = QUIET_MS, most: int = MOST_MS
 class Debouncer(StatefulProcessor):
     """One burst of state per path; its timer is set to when the burst is due."""
 
-    def __init__(self, quiet: int = QUIET_MS, most: int = MOST_MS):
-        self.quiet, self.most = quiet, most
+    def __init__(self, quiet: int = QUIET_MS, most: int = MOST_MS, grace: int = 0):
+        self.quiet, self.most, self.grace = quiet, most, grace
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -98,7 +101,7 @@ class Debouncer(StatefulProcessor):
         return pd.DataFrame([burst.row(key[0])], columns=["path", "job", "first_ms", "last_ms", "n_events"])
 
     def _load(self) -> Burst | None:
-        return Burst(self.quiet, self.most, *self.state.get()) if self.state.exists() else None
+        return Burst(self.quiet, self.most, *self.state.get(), self.grace) if self.state.exists() else None
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = self._load()
@@ -107,7 +110,7 @@ class Debouncer(StatefulProcessor):
             if now is None or not now.take(ms, kind):
                 if now is not None:  # due before this event, though its timer has yet to fire
                     yield self._emit(key, now)
-                now = Burst(self.quiet, self.most, ms, ms, kind, 1)
+                now = Burst(self.quiet, self.most, ms, ms, kind, 1, self.grace)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if now is not None:
@@ -124,35 +127,35 @@ class Debouncer(StatefulProcessor):
         pass
 
 
-def debounced(events: DataFrame, quiet: int = QUIET_MS, most: int = MOST_MS, late: str = "5 seconds") -> DataFrame:
+def debounced(events: DataFrame, quiet: int = QUIET_MS, most: int = MOST_MS, late: str = "5 seconds", grace: int = 0) -> DataFrame:
     """Jobs from a stream of events; needs the RocksDB state store."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = events.filter("kind <> 'error'").withWatermark("ts", late).select("path", "event_id", "kind", "ts", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("path").transformWithStateInPandas(Debouncer(quiet, most), JOB, "Append", "EventTime")
+    # ticks only move the time on; the filter names ts so that it stays behind the watermark
+    told = events.withWatermark("ts", late).filter("NOT (kind IN ('error', 'tick') AND ts IS NOT NULL)")
+    rows = told.select("path", "event_id", "kind", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("path").transformWithStateInPandas(Debouncer(quiet, most, grace), JOB, "Append", "EventTime")
 
 
-def renames(events: DataFrame, grace: str = "1 second", late: str = "5 seconds") -> DataFrame:
-    """Unlinks with the add of the same inode within the grace time, or null: a delete. Rows without an inode never pair."""
-    gone = events.filter("kind = 'unlink'").select("inode", F.col("path").alias("old_path"), F.col("ts").alias("gone")).withWatermark("gone", late)
-    came = events.filter("kind = 'add'").select(F.col("inode").alias("i"), F.col("path").alias("new_path"), F.col("ts").alias("came")).withWatermark("came", late)
-    return gone.join(came, F.expr(f"inode = i AND came >= gone AND came <= gone + interval {grace}"), "left_outer").drop("i")
-
-
-def apply_jobs(jobs: DataFrame, files: DataFrame, blobs: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables after a batch of jobs: deletes go with their texts, upserts of paths that still exist are merged.
+def apply_jobs(jobs: DataFrame, files: DataFrame, blobs: DataFrame, present: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tables after a batch of jobs: deletes go with their texts, upserts of paths that exist (rows ``present``) are merged with their new texts.
 
     A path whose last job is a delete is not brought back by an earlier upsert of the batch.
     """
     last = index.latest_by(jobs.select("path", "job", "last_ms"), "path", "last_ms")
-    left, texts = index.delete_paths(files, blobs, last.filter("job = 'delete'"))
-    present = listing.join(last.filter("job = 'upsert'").select("path"), "path", "left_semi")
-    return index.upsert_files(left, present.select(*files.columns)), texts
+    left, said = index.delete_paths(files, blobs, last.filter("job = 'delete'"))
+    now = present.join(last.filter("job = 'upsert'").select("path"), "path", "left_semi")
+    fresh = (blobs.limit(0) if texts is None else texts).join(now.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return index.upsert_files(left, now.select(*files.columns)), index.upsert_blobs(said, fresh)
 
 
-def run(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:
-    """Debounce a stream and hand each batch of jobs to ``apply``; the checkpoint is a folder that executors share."""
-    return debounced(events).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+def run(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", late: str = "0 seconds") -> StreamingQuery:
+    """Debounce a stream and hand each batch of jobs to ``apply``; the checkpoint is a folder that executors share.
+
+    Deletes wait for the grace time, so the job of a file's new path comes before that of its old one: renames are met
+    when the new path is applied.
+    """
+    return debounced(events, late=late, grace=GRACE_MS).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def event_files(spark: SparkSession, path: str, per_batch: int = 100) -> DataFrame:

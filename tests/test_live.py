@@ -1,6 +1,10 @@
+import hashlib
 import json
+import os
+import random
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodeview.operators import index
@@ -32,6 +36,7 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     closing = [(60_000, "/z", "change", 9)]
     for i, part in enumerate((ROWS, closing, [(120_000, "/z", "change", 9)])):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(e) for e in _events(part)))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_000 + i, 1_000 + i))  # files are taken in order of time, which may else be the same
     stream = live.event_files(spark, str(tmp_path / "in"), 1)
     q = live.debounced(stream).writeStream.format("memory").queryName("jobs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -68,3 +73,67 @@ def test_blob_upsert_keeps_blank(spark):
     assert index.upsert_blobs(old, blank).first()["content"] == "old"
     row = index.upsert_blobs(old, new).first()
     assert row["content"] == "new" and row["seq"] == 1
+
+
+def _one_by_one(events, grace=1000):
+    """The pairing rules as a machine that sees one event after another: (what, old, new, unlink, add)."""
+    pending, out = {}, []  # path: (ms, key, event)
+    last_of = {}  # (inode): path of the last unlink
+    for i, (ms, path, kind, inode) in sorted(enumerate(events), key=lambda x: (x[1][0], x[0])):
+        for p in [p for p, (t, _, _) in pending.items() if ms - t > grace]:
+            del pending[p]
+        if kind == "unlink":
+            pending[path] = ms, inode, i
+            if inode is not None:
+                last_of[inode] = i
+        elif kind == "add":
+            if path in pending:
+                out.append(("change", path, path, pending.pop(path)[2], i))
+            elif inode is not None:
+                for p, (_, key, u) in list(pending.items()):
+                    if key == inode and last_of.get(inode) == u:
+                        out.append(("rename", p, path, u, i))
+                        del pending[p]
+    return sorted(out)
+
+
+def test_pairs_as_one_event_after_another(spark):
+    rng = random.Random(5)
+    for trial in range(6):
+        at, events = 0, []
+        for _ in range(120):
+            at += rng.choice([50, 300, 700, 2500])
+            events.append((at, f"/p{rng.randrange(12)}", rng.choice(["unlink", "add", "add", "change"]), rng.choice([None, *range(6)])))
+        got = sorted(tuple(r) for r in index.paired_events(_table(spark, events)).select("what", "old_path", "new_path", "ue", "ae").collect())
+        assert got == _one_by_one(events), trial
+
+
+def test_devices_are_told_apart(spark):
+    rows = [(0, "/a", "unlink", 1, 1), (10, "/b", "add", 1, 2), (20, "/c", "add", 1, 1)]
+    e = spark.createDataFrame([(i, p, n, d, k, START + timedelta(milliseconds=ms)) for i, (ms, p, k, n, d) in enumerate(rows)], "event_id long, path string, inode long, device long, kind string, ts timestamp")
+    assert [(r["old_path"], r["new_path"]) for r in index.rename_pairs(e).collect()] == [("/a", "/c")]
+
+
+def _held(spark, paths):
+    sha = lambda p: hashlib.sha1(p.encode()).hexdigest()
+    files = spark.createDataFrame([(sha(p), p, p[1:], None, None, 1, "c", "m", "a", "/", "{}", 7, 1) for p in paths], FILES)
+    return files, spark.createDataFrame([("b", sha(p), "file", "text/plain", f"text of {p}", "c", i) for i, p in enumerate(paths)], BLOBS)
+
+
+@pytest.mark.parametrize("moves, want", [
+    ([("/a", "/b"), ("/b", "/a")], {"/a": "text of /b", "/b": "text of /a", "/c": "text of /c"}),
+    ([("/a", "/a")], {"/a": "text of /a", "/b": "text of /b", "/c": "text of /c"}),
+    ([("/a", "/b"), ("/b", "/c")], {"/b": "text of /a", "/c": "text of /b"}),
+    ([("/a", "/c")], {"/c": "text of /a", "/b": "text of /b"}),
+    ([("/nowhere", "/c")], {"/a": "text of /a", "/b": "text of /b", "/c": "text of /c"}),
+])
+def test_renames_lose_nothing(spark, moves, want):
+    files, blobs = _held(spark, ["/a", "/b", "/c"])
+    f, b = index.apply_renames(files, blobs, spark.createDataFrame(moves, "old_path string, new_path string"))
+    assert {r["path"]: r["content"] for r in f.join(b, f["id"] == b["source_id"]).collect()} == want
+
+
+def test_chains_of_renames(spark):
+    moves = [("/a", "/tmp", 1, 2), ("/b", "/a", 3, 4), ("/tmp", "/b", 5, 6), ("/x", "/y", 7, 8), ("/y", "/x", 9, 10)]
+    got = index.net_renames(spark.createDataFrame(moves, "old_path string, new_path string, ue long, ae long")).collect()
+    assert sorted(tuple(r) for r in got) == [("/a", "/b"), ("/b", "/a")]

@@ -1,12 +1,13 @@
 """Ranking cases with hand-derived scores."""
 
+import os
 import sqlite3
 
 import pytest
 
 from lodeview.engine import cards
 from lodeview.functions.snippet import snippet
-from lodeview.operators import search
+from lodeview.operators import index, search
 from lodeview.plans.query import analyse
 from lodeview.sources.tables import BLOBS, FILES, REPOS
 
@@ -29,46 +30,61 @@ def _scores(df):
 
 
 def test_screenshot_first(spark):
-    files = [_file("/captures/screenshots/debug-shot.png", SHOT), _file("/captures/photos/debug-reference.png", IMAGE)]
-    found = _find(spark, "debug screenshot", files)
-    assert _scores(found) == [("/captures/screenshots/debug-shot.png", 180), ("/captures/photos/debug-reference.png", 145)]
+    files = [_file("/shots/screenshots/login-page.png", SHOT), _file("/shots/photos/login-form.png", IMAGE)]
+    found = _find(spark, "login screenshot", files)
+    # 100, 5 for each word met, 40 for a name with one, 30 for a screenshot
+    assert _scores(found) == [("/shots/screenshots/login-page.png", 100 + 10 + 40 + 30), ("/shots/photos/login-form.png", 100 + 5 + 40)]
     assert found.first()["why_matched"] == "Matched screenshot file name or path"
 
 
 def test_screenshot_text(spark):
-    f = _file("/captures/screenshots/billing-error.png", SHOT)
-    b = ("b", f[0], "file", "screenshot_ocr", "Stripe billing portal configuration error on checkout", "t", 0)
-    row = _find(spark, "billing portal screenshot", [f], (), [b]).first()
-    assert row["score"] == 243 and "screenshot OCR text: Stripe [billing] [portal]" in row["why_matched"]
+    f = _file("/shots/screenshots/ticket-refund.png", SHOT)
+    b = ("b", f[0], "file", "screenshot_ocr", "Refund queue for late ticket orders", "t", 0)
+    row = _find(spark, "refund queue screenshot", [f], (), [b]).first()
+    assert row["score"] == (100 + 10 + 40 + 30) + 35 + 28 and "screenshot OCR text: [Refund] [queue]" in row["why_matched"]
 
 
 def test_noisy_path(spark):
-    files = [_file("/home/u/projects/app/src/server.ts"), _file("/home/u/projects/app/node_modules/a/b/server.ts")]
-    got = dict(_scores(_find(spark, "server", files)))
-    assert got["/home/u/projects/app/src/server.ts"] == 192 and got["/home/u/projects/app/node_modules/a/b/server.ts"] == 140 + 40 - 45 + 12 - 2 * 2 + 0
+    files = [_file("/home/u/projects/kit/src/parser.rs"), _file("/home/u/projects/kit/node_modules/x/y/parser.rs")]
+    got = dict(_scores(_find(spark, "parser", files)))
+    assert got["/home/u/projects/kit/src/parser.rs"] == 140 + 40 + 12
+    assert got["/home/u/projects/kit/node_modules/x/y/parser.rs"] == 140 + 40 + 12 - 45 - 2 * 2
 
 
-def test_typo_repo(spark):
-    repo = ("r", "/home/u/gitonsteroid", "gitonsteroid", None, "main", None, "{}")
-    row = _find(spark, "gitinsteroid", (), [repo]).first()
-    assert row["score"] == 122 and row["why_matched"] == "Matched similar repo name (92% similarity)"
+def test_mistyped_repository(spark):
+    repo = ("r", "/home/u/treegraft", "treegraft", None, "main", None, "{}")
+    row = _find(spark, "treegrapht", (), [repo]).first()
+    # two edits in ten letters
+    assert row["score"] == 72 + 44 and row["why_matched"] == "Matched similar repo name (80% similarity)"
 
 
-@pytest.mark.parametrize("question, name", [("a book about stats", "STAT HW 2 QUESTIONS SET.pdf"), ("stats", "stat-notes.md")])
-def test_stems(spark, question, name):
-    assert _scores(_find(spark, question, [_file(f"/home/u/Downloads/{name}")])) == [(f"/home/u/Downloads/{name}", 150)]
+@pytest.mark.parametrize("question, name, score", [("the maps of towns", "TOWN MAP final.pdf", 100 + 10 + 40 + 5), ("maps", "map-of-the-town.md", 100 + 5 + 40 + 5)])
+def test_stems(spark, question, name, score):
+    assert _scores(_find(spark, question, [_file(f"/home/u/Downloads/{name}")])) == [(f"/home/u/Downloads/{name}", score)]
 
 
 def test_image_metadata(spark):
-    a, b = _file("/tmp/colorado-trip.png", IMAGE), _file("/home/u/Pictures/IMG_4459.jpeg", IMAGE)
-    text = ("b", b[0], "file", "image_metadata", "image\nlocation: Colorado", "t", 0)
-    assert _scores(_find(spark, "image from Colorado", [a, b], (), [text])) == [(b[1], 178), (a[1], 120)]
+    a, b = _file("/tmp/norway-map.png", IMAGE), _file("/home/u/Pictures/IMG_7.jpeg", IMAGE)
+    text = ("b", b[0], "file", "image_metadata", "image: IMG_7.jpeg\nlocation: Oslo, Norway", "t", 0)
+    # by text alone: 125, a folder of pictures 5, both words 24, an image's text 24; by name: 105 + 40 + 20 in a folder for 45 less
+    assert _scores(_find(spark, "image from Norway", [a, b], (), [text])) == [(b[1], 125 + 5 + 24 + 24), (a[1], 105 + 40 + 20 - 45)]
 
 
 def test_nothing_and_cards(spark):
     assert cards(_find(spark, "   ", [_file("/a/x.md")])) == "No matches found."
-    text = cards(_find(spark, "notes", [_file("/home/u/notes.md")]))
-    assert text == "1. notes.md\n   type: file\n   path: /home/u/notes.md\n   why: Matched file name or path text\n   modified: 2026-04-18T10:00:00.000Z"
+    text = cards(_find(spark, "minutes", [_file("/home/u/minutes.md")]))
+    assert text == "1. minutes.md\n   type: file\n   path: /home/u/minutes.md\n   why: Matched file name or path text\n   modified: 2026-04-18T10:00:00.000Z"
+
+
+def test_phrases_accents_and_marks(spark):
+    texts = ["the night-train leaves", "a train by night", "the Nighttrain", "caf\u00e9 and CAFE\u0301 and Cafe", "ni\u00f1o"]
+    blobs = spark.createDataFrame([(str(i), f"s{i}", "file", "text/plain", t, "c", i) for i, t in enumerate(texts)], BLOBS)
+    words = index.postings(blobs)
+    hits = lambda question: sorted(r["seq"] for r in search.text_matches(words, analyse(question)).collect())
+    assert hits("night-tr") == [0] and hits("night") == [0, 1, 2] and hits("cafe") == [3] and hits("nino") == [4] and hits("###") == []
+    assert [r["places"] for r in words.filter("token = 'cafe'").collect()] == [[0, 2, 4]]
+    many = search.text_candidates_of_many(words, ["night-tr", "train night", "zzz", "cafe"]).collect()
+    assert sorted((r["question"], r["seq"], r["strict"]) for r in many) == [(0, 0, False), (1, 0, True), (1, 1, True), (1, 2, False), (3, 3, False)]
 
 
 def test_recent_order_and_since(spark):
@@ -78,17 +94,35 @@ def test_recent_order_and_since(spark):
 
 
 def test_question_analysis():
-    assert analyse("Find the PDF about Quantization").text == "find the pdf about quantization"
-    assert analyse("find the photo I downloaded from yesterday").hints == ("image", "download")
+    assert analyse("Show the PDF on Lattices").text == "show the pdf on lattices"
+    assert analyse("which picture was downloaded last week").hints == ("image", "download")
     assert analyse(" Repo IMAGE PDF screenshot download ").hints == ("repo", "image", "pdf", "screenshot", "download")
     assert analyse("the of").words == ("the", "of")
     assert analyse("night-train ### boss").index_terms == [["night", "train"], ["boss"]]
 
 
-@pytest.mark.parametrize("text", ["one two three", "a long text. " * 9 + "here billing begins: portal of billing, and more words follow after it until it ends now"])
+@pytest.mark.parametrize("text", ["one two three", "a long text. " * 9 + "here harvest begins: barns of harvest, and more words follow after it until it ends now"])
 def test_snippet_like_sqlite(text):
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(c)")
     con.execute("INSERT INTO t VALUES (?)", (text,))
-    got = con.execute("SELECT snippet(t, 0, '[', ']', ' … ', 12) FROM t WHERE t MATCH 'billing* OR two*'").fetchone()[0]
-    assert snippet(text, [["billing"], ["two"]]) == got
+    got = con.execute("SELECT snippet(t, 0, '[', ']', ' … ', 12) FROM t WHERE t MATCH 'harvest* OR two*'").fetchone()[0]
+    assert snippet(text, [["harvest"], ["two"]]) == got
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("terms", [["er"], ["than", "ering"], ["que", "ther", "und"], ["thor"]])
+def test_matches_and_snippets_like_sqlite_on_all_texts(spark, terms):
+    """Every text of the smallest tables: which match, in what order, and each one's snippet."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text IS NOT NULL").orderBy("doc_id").collect()
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(c)")
+    con.executemany("INSERT INTO t (rowid, c) VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in docs])
+    query = " OR ".join(f"{t}*" for t in terms)
+    want = con.execute("SELECT rowid, snippet(t, 0, '[', ']', ' … ', 12) FROM t WHERE t MATCH ? ORDER BY rowid", (query,)).fetchall()
+    blobs = spark.createDataFrame([(str(r["doc_id"]), str(r["doc_id"]), "file", "text/plain", r["text"], "c", r["doc_id"]) for r in docs], BLOBS)
+    hit = search.text_matches(index.postings(blobs), analyse(" ".join(terms)) if len(terms) > 1 else analyse(terms[0])).orderBy("seq").collect()
+    assert [r["seq"] for r in hit] == [i for i, _ in want]
+    text = {r["doc_id"]: r["text"] for r in docs}
+    off = [i for i, s in want if snippet(text[i], [[t] for t in terms]) != s]
+    assert not off, (len(off), len(want))
