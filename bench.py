@@ -1,19 +1,43 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the headline queries, the index they are asked of, and a scan of real files; prints one JSON line."""
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from lodeview import catalogue
+from lodeview.engine import Engine
+from lodeview.plans import corpus
 
 HEADLINES = [
-    "find_topk", "find_text", "find_repo", "name_like_topk", "fts_strict_then_loose", "fuzzy_names", "prefix_search_batch", "record_get", "recent_files", "scan_reuse", "scan_summary", "upsert_latest_by_path",
-    "extraction_coverage", "markup_to_text", "rename_pairs", "debounce_gap", "debounce_capped",
+    "find_topk", "find_text", "find_repo", "name_like_topk", "fts_strict_then_loose", "fts_many_questions", "fuzzy_names", "prefix_search_batch", "record_get", "recent_files", "scan_reuse", "scan_summary",
+    "upsert_latest_by_path", "extraction_coverage", "markup_to_text", "rename_pairs", "debounce_gap", "debounce_capped",
 ]
+FILES = 2000
+
+
+def scan_rate(spark: SparkSession, folder: str) -> dict[str, float]:
+    """Files a second that a first scan lists, reads, extracts and indexes, and that a second one finds unchanged."""
+    where = tempfile.mkdtemp(prefix="lodeview-bench-")
+    try:
+        for i, row in enumerate(spark.read.parquet(f"{folder}/documents.parquet").select("text").limit(FILES).toLocalIterator()):
+            at = os.path.join(where, "files", f"d{i % 40}")
+            os.makedirs(at, exist_ok=True)
+            with open(os.path.join(at, f"f{i}.{('md', 'txt', 'py', 'json')[i % 4]}"), "w") as f:
+                f.write(row["text"] or "")
+        engine, out = Engine(spark, os.path.join(where, "index")), {}
+        for name in ("files_per_sec_scanned", "files_per_sec_rescanned"):
+            begun = time.perf_counter()
+            engine.scan([os.path.join(where, "files")])
+            out[name] = round(min(FILES, i + 1) / (time.perf_counter() - begun), 1)
+        return out
+    finally:
+        shutil.rmtree(where, ignore_errors=True)
 
 
 def main() -> None:
@@ -25,14 +49,16 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalogue.queries()
     run = lambda name: queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-    run("recent_files")  # the first job starts the session
+    begun = time.perf_counter()
+    corpus.stored(spark, folder)  # as a scan leaves it: questions are asked of an index that is there
+    built = round(time.perf_counter() - begun, 3)
+    run("find_plural")  # the first question starts the session's Python workers
     seconds = {}
     for name in HEADLINES:
         begun = time.perf_counter()
         run(name)
         seconds[name] = round(time.perf_counter() - begun, 3)
-    files = spark.read.parquet(f"{folder}/documents.parquet").count()
-    rates = {"files_per_sec_scanned": round(files / seconds["scan_summary"], 1), "events_per_sec_debounced": round(spark.read.parquet(f"{folder}/events.parquet").count() / seconds["debounce_capped"], 1)}
+    rates = {"index_built_sec": built, "events_per_sec_debounced": round(spark.read.parquet(f"{folder}/events.parquet").count() / seconds["debounce_capped"], 1)} | scan_rate(spark, folder)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "rates": rates, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
 
 
