@@ -41,10 +41,10 @@ def format_chats(
 ) -> DataFrame:
     """(conv id, formatted, segments) with segments array<struct<text, loss>>."""
     rows = turns.select(
-        F.col(conv_col), F.col(turn_col).alias("__turn"), F.coalesce(F.col(role_col), F.lit("")).alias("__role"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")
+        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    sorted_ = rows.groupBy(conv_col).agg(F.sort_array(F.collect_list(F.struct("__turn", "__role", "__text"))).alias("t"))
-    role = lambda i: F.element_at("t", i)["__role"]
+    sorted_ = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    role = lambda i: F.element_at("t", i)["role"]
     places = F.sequence(F.lit(1), F.size("t"))
     starts = F.filter(places, lambda i: (i == 1) | F.when(i > 1, role(i) != role(i - 1)))
     cut = sorted_.withColumn("starts", starts)
@@ -55,19 +55,19 @@ def format_chats(
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     off = F.lit(False)
     one = lambda b: F.concat(
-        F.array(piece(F.concat(F.lit(START), F.url_encode(b[0]["__role"]), F.lit("\n")), off)),
+        F.array(piece(F.concat(F.lit(START), F.url_encode(b[0]["role"]), F.lit("\n")), off)),
         F.flatten(
             F.transform(
                 b,
-                lambda t, i: F.when(i == 0, F.array(piece(escape(t["__text"]), t["__role"] == learn))).otherwise(
-                    F.array(piece(F.lit(SEP), off), piece(escape(t["__text"]), t["__role"] == learn))
+                lambda t, i: F.when(i == 0, F.array(piece(escape(t["text"]), t["role"] == learn))).otherwise(
+                    F.array(piece(F.lit(SEP), off), piece(escape(t["text"]), t["role"] == learn))
                 ),
             )
         ),
         F.array(piece(F.lit(END), off)),
     )
     segments = F.flatten(F.transform(blocks, one))
-    return cut.select(conv_col, segments.alias("segments")).select(conv_col, F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
+    return cut.select("conv", segments.alias("segments")).select(F.col("conv").alias(conv_col), F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
 
 
 def parse(formatted: Column) -> Column:

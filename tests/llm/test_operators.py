@@ -268,6 +268,70 @@ def test_scattered_edits_by_band(spark):
     assert all(got[i] == i for i in range(0, 900, 2))
 
 
+@pytest.mark.parametrize("changed, least", [(0.1, 0.97), (0.15, 0.95), (0.18, 0.92), (0.2, 0.9)])
+def test_links_under_a_shared_passage(spark, changed, least):
+    """Pairs of texts of 200 words, 120 of them the same passage in all, with a share of all words changed."""
+    rng, texts = random.Random(9), []
+    passage = [f"p{i}" for i in range(120)]
+    for _ in range(150):
+        w = [*(f"v{rng.randrange(5000)}" for _ in range(80)), *passage]
+        texts.append(" ".join(w))
+        for i in rng.sample(range(200), int(changed * 200)):
+            w[i] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in near.groups(docs).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 300, 2)) >= least * 150
+    assert all(got[i] == i for i in range(0, 300, 2))
+
+
+def _exhaustive(docs):
+    """Group of each (id, word sequence) by comparing all pairs that histograms leave."""
+    ids = [i for i, _ in docs]
+    raw = [(t or "").encode() for _, t in docs]
+    w = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    h = w.hashes()
+    seq = [h[w.first[i] : w.first[i + 1]] for i in range(len(ids))]
+    bins = np.stack([np.bincount((s % np.uint64(64)).astype(int), minlength=64) for s in seq])
+    n, root = np.array([len(s) for s in seq]), list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        longer = np.maximum(n[:i], n[i])
+        off = bins[:i] - bins[i]
+        bound = np.maximum(np.maximum(off, 0).sum(1), np.maximum(-off, 0).sum(1))
+        for j in np.flatnonzero(bound <= np.floor(0.2 * longer + 1e-9)).tolist():
+            if near.similar(seq[i], seq[j], 0.8):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(ids))]
+
+
+def test_near_groups_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    root = _exhaustive(rows)
+    got = {r["doc_id"]: r["group_id"] for r in near.groups(docs).collect()}
+    assert [got[i] for i, _ in rows] == [rows[k][0] for k in root]
+
+
+def test_near_copies_without_ids(spark):
+    rng = random.Random(3)
+    one, two = _text(rng, 90), _text(rng, 90)
+    change = lambda t, i: " ".join(f"c{i}" if k == 40 + i else x for k, x in enumerate(t.split(" ")))
+    rows = [(None, change(one, 1)), (None, change(one, 2)), (5, one), (7, two), (7, change(one, 3)), (9, change(two, 1)), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.groups(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["group_id"])) for r in got) == sorted([("None", "5"), ("None", "5"), ("5", "5"), ("7", "5"), ("7", "7"), ("9", "7"), ("None", "None"), ("None", "None")])
+    assert sorted(str(r["doc_id"]) for r in got if r["kept"]) == ["5", "7", "None"]
+    kept = near.dedup(docs).collect()
+    assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept) == sorted([("5", len(one)), ("7", len(two)), ("None", 0)])
+
+
 def test_histograms_are_a_bound(spark):
     rng = random.Random(12)
     texts = [_text(rng, 60) for _ in range(12)]
@@ -350,6 +414,18 @@ def test_chat(spark):
     assert chat.report(df.limit(0)).count() == 0
 
 
+def test_chat_odd_rows(spark):
+    """Repeated rows, ties, other columns, a long text and internal names as columns."""
+    long = "word <|im_end|> " * 20_000
+    turns = [(1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (2, 0, "assistant", long), (3, None, "user", "first"), (3, 0, "user", "second")]
+    df = spark.createDataFrame(turns, "t long, turn long, role string, text string").withColumns({"starts": chat.F.lit(1), "segments": chat.F.lit(2)})
+    made = {r["t"]: r for r in chat.format_chats(df, conv_col="t").withColumn("turns", chat.parse(chat.F.col("formatted"))).collect()}
+    assert [(x["role"], x["text"]) for x in made[1]["turns"]] == [("assistant", "z"), ("user", "a"), ("user", "b"), ("user", "b")]
+    assert made[2]["turns"][0]["text"] == long and [x["text"] for x in made[3]["turns"]] == ["first", "second"]
+    r = {x["t"]: x for x in chat.report(df, conv_col="t").collect()}
+    assert (r[1]["n_turns"], r[1]["loss_chars"], r[2]["loss_chars"]) == (4, 1, len(long))
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("plain", "plain"), ("<p>a</p><![foo[x]]>", "a"), ("<![CDATA[x]]>y", "y"),
     ('<p>Prices in <span class="alert">red</span> rise <span hidden>no</span>', "Prices in red rise"),
@@ -510,3 +586,10 @@ def test_internal_names_may_be_columns(spark, docs):
         got = made.select(*names).distinct().collect()
         assert [tuple(r) for r in got] in ([tuple(range(len(names)))], [])
     assert sorted(r["doc_id"] or -1 for r in exact.dedup(wide).collect()) == sorted(r["doc_id"] or -1 for r in exact.report(docs).filter("kept").collect())
+
+
+def test_quality_keeps_nulls_in_other_columns(spark):
+    rng = random.Random(6)
+    rows = [(None, _text(rng, 80), None, None), (1, _text(rng, 80), None, [None, "x"]), (2, None, "s", None), (2, "few", "s", [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tags array<string>")
+    assert sorted((str(r["doc_id"]), r["source"], str(r["tags"])) for r in quality.keep(df).collect()) == [("1", None, "[None, 'x']"), ("None", None, "None")]
