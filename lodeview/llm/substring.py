@@ -208,7 +208,8 @@ def extend_hashed(classes: DataFrame, *, k: int, window: int) -> DataFrame:
 def repeats(keyed: DataFrame, *, window: int = 50, k: int = 10, pairwise: int = 24) -> DataFrame:
     """(ord, th, spans): for each text with any, the word ranges [start, end) that repeat earlier documents."""
     seen = materialize(occurrences(keyed, k=k, window=window), "anchors")
-    shared = seen.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("an"))
+    # what is joined is stored first, here and below: a join between plain exchanges can split a frequent anchor
+    shared = materialize(seen.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("an")), "shared")
     hits = materialize(seen.join(shared, F.col("anchor") == F.col("an")).drop("an"), "shared-anchors")
     release(seen)
     classes = materialize(hits.groupBy("anchor", "around").agg(F.min("ord").alias("lead")), "classes")
@@ -217,8 +218,7 @@ def repeats(keyed: DataFrame, *, window: int = 50, k: int = 10, pairwise: int =
     leads = hits.join(classes.withColumnsRenamed({"anchor": "ca", "around": "cr"}), (F.col("anchor") == F.col("ca")) & (F.col("around") == F.col("cr"))).drop("ca", "cr")
     whole = leads.filter("ord > lead AND left + right >= " + str(window))
     mine = leads.filter("ord = lead")
-    # one occurrence stands for its class: the others have the same surroundings. ``counted`` is stored, so that the
-    # join on anchors is between plain exchanges and a frequent anchor can be split.
+    # one occurrence stands for its class: the others have the same surroundings
     stand = mine.groupBy("anchor", "around", "ord", "th", "left", "right").agg(F.min("place").alias("place"))
     stand = stand.join(counted, F.col("anchor") == F.col("an")).drop("an")
     context = materialize(surroundings(keyed, stand, k=k, window=window), "surroundings")
