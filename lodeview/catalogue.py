@@ -333,7 +333,7 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- the whole search -------------------------------------------------------------------------------------
 
 
-def _find_sql(question: str) -> str:
+def _find_sql(question: str, where: str = "true", limit: int = 10) -> str:
     """The search without reasons, from the same caps and scores, as set operations."""
     q = analyse(question)
     terms = q.index_terms
@@ -369,7 +369,7 @@ def _find_sql(question: str) -> str:
     fuzzy AS (SELECT id, 'file' AS result_type, name AS title, path, 70 + floor(sim * 50 + 0.5) + {_hint_sql(q)} + {_quality_sql('path')} AS score, modified_at AS last_modified, 4 AS phase,
                      row_number() OVER (ORDER BY modified_at DESC NULLS LAST, id) AS place FROM ff WHERE sim >= 0.72
               UNION ALL SELECT id, 'repo', repo_name, root_path, 72 + floor(sim * 55 + 0.5) + {_quality_sql('root_path', True)}, last_commit_at, 5, row_number() OVER (ORDER BY last_commit_at DESC NULLS LAST, id) FROM fz WHERE sim >= 0.72)
-    SELECT id AS result_id, result_type, title, path, score::INTEGER AS score, last_modified FROM (SELECT * FROM named UNION ALL SELECT * FROM fuzzy WHERE id NOT IN (SELECT id FROM named)) ORDER BY score DESC, phase, place LIMIT 10"""
+    SELECT id AS result_id, result_type, title, path, score::INTEGER AS score, last_modified FROM (SELECT * FROM named UNION ALL SELECT * FROM fuzzy WHERE id NOT IN (SELECT id FROM named)) WHERE {where} ORDER BY score DESC, phase, place LIMIT {limit}"""
 
 
 def _find(question: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +382,13 @@ for _name, _question in FIND.items():
     _SQL[_name] = _find_sql(_question)
 
 
+@_query(_find_sql(ASKED, "result_type = 'file' AND starts_with(path, '/home/u/work') AND last_modified >= '2026-03-01'", 5))
+def find_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, r, b, p = _tables(spark, sf_dir)
+    found = search.find(f, r, b, ASKED, postings=p, snippets=False, kinds=["file"], path_prefix="/home/u/work", since="2026-03-01", limit=5)
+    return found.drop("why_matched")
+
+
 @_query()
 def find_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search with reasons and snippets; tests hold snippets against those of SQLite's full-text engine."""
@@ -492,6 +499,18 @@ def rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.rename_pairs(corpus.events(spark, sf_dir), 3_600_000)  # the table's events are minutes apart
 
 
+@_query(f"""{_WITH}, t AS (SELECT path, doc_id, sha256(text) AS sha256 FROM files JOIN documents USING (doc_id)),
+    o AS (SELECT path, sha256 FROM t WHERE doc_id % 11 <> 0), n AS (SELECT CASE WHEN doc_id % 7 = 0 THEN concat('/moved', path) ELSE path END AS path, sha256 FROM t WHERE doc_id % 13 <> 0),
+    g AS (SELECT sha256, min(path) AS old_path FROM o WHERE path NOT IN (SELECT path FROM n) AND sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) = 1), c AS (SELECT sha256, min(path) AS new_path FROM n WHERE path NOT IN (SELECT path FROM o) AND sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) = 1)
+    SELECT old_path, new_path, sha256 FROM g JOIN c USING (sha256)""")
+def content_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that two listings show as moved, by what is in them."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("d"), F.sha2("text", 256).alias("sha256"))
+    t = corpus.files(spark, sf_dir).select("doc_id", "path").join(d, F.col("doc_id") == F.col("d"))
+    new = t.filter("doc_id % 13 <> 0").withColumn("path", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("/moved"), "path")).otherwise(F.col("path")))
+    return index.moved_by_content(t.filter("doc_id % 11 <> 0").select("path", "sha256"), new.select("path", "sha256"))
+
+
 @_query(f"""{_WITH} SELECT (SELECT count(*) FROM files WHERE doc_id % 10 <> 0)::BIGINT AS n_files, (SELECT count(*) FROM blobs WHERE source_type = 'repo' OR seq % 10 <> 0)::BIGINT AS n_blobs""")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, b = corpus.files(spark, sf_dir), corpus.blobs(spark, sf_dir)

@@ -159,9 +159,9 @@ class Engine:
         """Keep the index fresh from a stream of events (``live.event_files`` reads what ``sources.watcher`` writes)."""
         return live.run(events, lambda jobs, _: self.apply(jobs, roots), checkpoint, every)
 
-    def find(self, question: str) -> DataFrame:
+    def find(self, question: str, *, kinds: Sequence[str] = (), path_prefix: str | None = None, since: str | None = None, limit: int = search.RESULTS) -> DataFrame:
         files, repos, blobs, words = (self.tables.read(name) for name in ("file_records", "repo_records", "text_blobs", "postings"))
-        return search.find(files, repos, blobs, question, postings=words)
+        return search.find(files, repos, blobs, question, postings=words, kinds=kinds, path_prefix=path_prefix, since=since, limit=limit)
 
     def get(self, id_: str) -> DataFrame:
         t = self.tables

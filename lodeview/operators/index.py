@@ -132,6 +132,12 @@ def rename_pairs(events: DataFrame, grace_ms: int = 1000) -> DataFrame:
     return paired_events(events, grace_ms).filter("what = 'rename'").drop("what")
 
 
+def moved_by_content(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(old_path, new_path, sha256): files (path, sha256) that left one listing and came in another under a digest that one file each has."""
+    side = lambda rows, other, name: rows.join(other.select("path"), "path", "left_anti").filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias(name)).filter("n = 1").drop("n")
+    return side(old, new, "old_path").join(side(new, old, "new_path"), "sha256").select("old_path", "new_path", "sha256")
+
+
 def net_renames(renames: DataFrame) -> DataFrame:
     """(old_path, new_path): renames (old_path, new_path, ue, ae) of one batch with those in a chain followed to its end."""
     moves = renames.select("old_path", "new_path", "ue", "ae")

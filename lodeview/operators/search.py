@@ -11,7 +11,7 @@ tables meet the candidates as a local relation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -221,10 +221,14 @@ def fuzzy_results(files: DataFrame, repos: DataFrame, q: Question) -> DataFrame:
     return of_files.unionByName(of_repos)
 
 
-def find(files: DataFrame, repos: DataFrame, blobs: DataFrame, question: str, *, postings: DataFrame | None = None, snippets: bool = True) -> DataFrame:
+def find(
+    files: DataFrame, repos: DataFrame, blobs: DataFrame, question: str, *, postings: DataFrame | None = None, snippets: bool = True,
+    kinds: Sequence[str] = (), path_prefix: str | None = None, since: str | None = None, limit: int = RESULTS,
+) -> DataFrame:
     """The ten best results for a question, with score and reason; no rows for a blank one.
 
-    ``postings`` is the stored index of ``blobs``; without it one is made for this question.
+    ``postings`` is the stored index of ``blobs``; without it one is made for this question. Filters choose among the
+    candidates' results: their kinds (file, repo), the begin of their path, the earliest time of change, and how many.
     """
     q = analyse(question)
     texts = text_candidates(index_of(blobs) if postings is None else postings, q)
@@ -234,7 +238,8 @@ def find(files: DataFrame, repos: DataFrame, blobs: DataFrame, question: str, *,
     # each id once: a result by name or text before one by similarity
     every = named.unionByName(fuzzy_results(files, repos, q).select(*_RESULT))
     every = every.withColumn("nth", F.row_number().over(Window.partitionBy("result_id").orderBy(F.col("phase") > 3, "phase"))).filter("nth = 1").drop("nth")
-    best = every.filter(F.lit(bool(q.text))).orderBy(F.desc("score"), "phase", "place").limit(RESULTS)
+    tests = [F.lit(bool(q.text))] + [F.col("result_type").isin(list(kinds))] * bool(kinds) + [F.startswith("path", F.lit(path_prefix))] * (path_prefix is not None) + [F.col("last_modified") >= since] * (since is not None)
+    best = every.filter(reduce(and_, tests)).orderBy(F.desc("score"), "phase", "place").limit(max(0, min(RESULTS, limit)))
     return best.select("result_id", "result_type", "title", "path", F.col("reason").alias("why_matched"), "score", "last_modified")
 
 

@@ -9,7 +9,7 @@ give the backpressure.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -149,6 +149,11 @@ def apply_jobs(jobs: DataFrame, files: DataFrame, blobs: DataFrame, present: Dat
     return index.upsert_files(left, now.select(*files.columns)), index.upsert_blobs(said, fresh)
 
 
+def subscribed(jobs: DataFrame, path_prefix: str = "", kinds: Sequence[str] = ("upsert", "delete")) -> DataFrame:
+    """The jobs below a path, of some kinds, of a stream or a table."""
+    return jobs.filter(F.startswith("path", F.lit(path_prefix)) & F.col("job").isin(list(kinds)))
+
+
 def run(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", late: str = "0 seconds") -> StreamingQuery:
     """Debounce a stream and hand each batch of jobs to ``apply``; the checkpoint is a folder that executors share.
 

@@ -18,7 +18,13 @@ from lodeview.engine import Engine, cards, doctor, file_link
 PARSE, REQUEST, METHOD, FAILED = -32700, -32600, -32601, -32000
 
 TOOLS = {
-    "find": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}}, "required": ["query"]},
+    "find": {
+        "type": "object", "required": ["query"],
+        "properties": {
+            "query": {"type": "string", "minLength": 1}, "kinds": {"type": "array", "items": {"enum": ["file", "repo"]}}, "path_prefix": {"type": "string"}, "since": {"type": "string"},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 10},
+        },
+    },
     "get": {"type": "object", "properties": {"id": {"type": "string"}}, "required": ["id"]},
     "recent": {"type": "object", "properties": {"since": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 100, "default": 20}}},
 }
@@ -33,10 +39,10 @@ def _rows(frame: Any) -> list[dict]:
     return out
 
 
-def _find(engine: Engine, query: str) -> list[dict]:
+def _find(engine: Engine, query: str, **filters: Any) -> list[dict]:
     if not isinstance(query, str) or not query:
         raise ValueError("query must be a text")
-    return _rows(engine.find(query))
+    return _rows(engine.find(query, **filters))
 
 
 def _get(engine: Engine, id: str) -> dict | None:  # noqa: A002
