@@ -40,9 +40,12 @@ def resolve_roots(flag: Sequence[str] = (), config: Sequence[str] = ()) -> list[
     return list(dict.fromkeys(r.strip() for r in found if r.strip()))
 
 
-def doctor() -> dict[str, bool]:
-    """Which of the programs that extraction can use are there."""
-    return {p: shutil.which(p) is not None for p in ("git", "pdftotext", "mutool", "exiftool", "tesseract")}
+def doctor(index: str | None = None, roots: Sequence[str] = ()) -> dict:
+    """Which programs that extraction can use are there, where the index is, and which roots can be read."""
+    return {
+        "programs": {p: shutil.which(p) is not None for p in ("git", "pdftotext", "mutool", "exiftool", "tesseract")},
+        "index": index, "roots": {r: os.access(r, os.R_OK) for r in resolve_roots(roots)},
+    }
 
 
 class Engine:

@@ -1,7 +1,11 @@
 """Requests to an engine as JSON-RPC, one in a line, and the command line.
 
+Beside the engine's own methods, those of the Model Context Protocol are answered
+(``initialize``, ``tools/list``, ``tools/call``), so ``serve`` is a tool server on
+standard input and output. Requests without an id get no answer.
+
     python -m lodeview.surface --index DIR scan ROOT...
-    python -m lodeview.surface --index DIR find WORDS... | get ID | recent [--since T] [--limit N] | doctor | serve
+    python -m lodeview.surface --index DIR find WORDS... | get ID | show ID | recent [--since T] [--limit N] | doctor [ROOT...] | serve
 """
 
 from __future__ import annotations
@@ -54,7 +58,25 @@ def _recent(engine: Engine, since: str | None = None, limit: int = 20) -> list[d
     return _rows(engine.recent(since, limit))
 
 
-METHODS: dict[str, Callable[..., Any]] = {"find": _find, "get": _get, "recent": _recent, "ping": lambda engine: "pong", "tools": lambda engine: TOOLS}
+ABOUT = {"find": "Ranked files and repositories for a question in words.", "get": "A record by its id, with the begin of its texts.", "recent": "The files that changed last."}
+
+
+def _call(engine: Engine, name: str, arguments: dict | None = None, **_: Any) -> dict:
+    """A tool's rows as text; what goes wrong in it is a result, too."""
+    if name not in TOOLS:
+        raise ValueError(f"no tool {name}")
+    try:
+        text, failed = json.dumps(METHODS[name](engine, **(arguments or {})), default=str), False
+    except Exception as e:
+        text, failed = str(e), True
+    return {"content": [{"type": "text", "text": text}], "isError": failed}
+
+
+METHODS: dict[str, Callable[..., Any]] = {
+    "find": _find, "get": _get, "recent": _recent, "ping": lambda engine: "pong", "tools/call": _call,
+    "initialize": lambda engine, protocolVersion="2024-11-05", **_: {"protocolVersion": protocolVersion, "capabilities": {"tools": {}}, "serverInfo": {"name": "lodeview", "version": "1"}},
+    "tools/list": lambda engine, **_: {"tools": [{"name": n, "description": ABOUT[n], "inputSchema": x} for n, x in TOOLS.items()]},
+}
 
 
 def answer(engine: Engine, line: str) -> dict:
@@ -81,10 +103,27 @@ def answer(engine: Engine, line: str) -> dict:
 def serve(engine: Engine, lines: Iterable[str], out: TextIO) -> None:
     """Answer requests line by line until they end."""
     for line in lines:
-        if line.strip():
+        if line.strip() and not _told(line):
             print(json.dumps(answer(engine, line), default=str), file=out, flush=True)
 
 
+def _told(line: str) -> bool:
+    """Whether a line is a notification: a request without an id."""
+    try:
+        held = json.loads(line)
+    except ValueError:
+        return False
+    return isinstance(held, dict) and isinstance(held.get("method"), str) and "id" not in held
+
+
+def record_card(record: dict | None) -> str:
+    """A record's fields and the begin of each of its texts, in lines."""
+    if record is None:
+        return "No such record."
+    lines = [f"{k}: {v}" for k, v in record.items() if v is not None and k not in ("blobs", "link")]
+    return "\n".join(lines + [f"  [{b['extractor_type']}] {b['snippet']}" for b in record.get("blobs") or ()])
+
+
 def main(args: list[str] | None = None, out: TextIO = sys.stdout) -> int:
     parser = argparse.ArgumentParser(prog="lodeview")
     parser.add_argument("--index", required=True)
@@ -95,14 +134,15 @@ def main(args: list[str] | None = None, out: TextIO = sys.stdout) -> int:
     scan.add_argument("--exclude", action="append", default=[])
     sub.add_parser("find").add_argument("words", nargs="+")
     sub.add_parser("get").add_argument("id")
+    sub.add_parser("show").add_argument("id")
     recent = sub.add_parser("recent")
     recent.add_argument("--since")
     recent.add_argument("--limit", type=int, default=20)
-    sub.add_parser("doctor")
+    sub.add_parser("doctor").add_argument("roots", nargs="*")
     sub.add_parser("serve")
     a = parser.parse_args(args)
     if a.command == "doctor":
-        print(json.dumps(doctor(), indent=2), file=out)
+        print(json.dumps(doctor(a.index, a.roots), indent=2), file=out)
         return 0
     from pyspark.sql import SparkSession
 
@@ -113,6 +153,8 @@ def main(args: list[str] | None = None, out: TextIO = sys.stdout) -> int:
         print(cards(engine.find(" ".join(a.words))), file=out)
     elif a.command == "get":
         print(json.dumps(_get(engine, a.id), indent=2, default=str), file=out)
+    elif a.command == "show":
+        print(record_card(_get(engine, a.id)), file=out)
     elif a.command == "recent":
         print(cards(engine.recent(a.since, a.limit)), file=out)
     else:

@@ -145,6 +145,18 @@ def test_requests(spark, tmp_path):
     out = io.StringIO()
     surface.serve(engine, ['{"id": 7, "method": "ping"}', "", "nonsense"], out)
     assert [json.loads(x).get("id") for x in out.getvalue().splitlines()] == [7, None]
+    listed = ask(method="tools/list")["result"]["tools"]
+    assert [t["name"] for t in listed] == ["find", "get", "recent"] and ask(method="initialize", params={"protocolVersion": "x"})["result"]["protocolVersion"] == "x"
+    called = ask(method="tools/call", params={"name": "find", "arguments": {"query": "harvest", "kinds": ["file"]}})["result"]
+    assert json.loads(called["content"][0]["text"])[0]["title"] == "plan.md" and not called["isError"]
+    assert ask(method="tools/call", params={"name": "find", "arguments": {"query": ""}})["result"]["isError"] and "error" in ask(method="tools/call", params={"name": "none"})
+    out = io.StringIO()
+    surface.serve(engine, ['{"method": "notifications/initialized"}', '{"id": 1, "method": "ping"}'], out)
+    assert len(out.getvalue().splitlines()) == 1
+    shown = surface.record_card(surface._get(engine, hit["result_id"]))
+    assert "name: plan.md" in shown and "[text/markdown] harvest in autumn" in shown and surface.record_card(None) == "No such record."
+    out = io.StringIO()
+    assert surface.main(["--index", str(tmp_path / "i"), "doctor", str(root)], out) == 0 and json.loads(out.getvalue())["roots"] == {str(root): True}
     out = io.StringIO()
     assert surface.main(["--index", str(tmp_path / "i"), "find", "harvest"], out) == 0 and out.getvalue().startswith("1. plan.md")
 
