@@ -4,6 +4,11 @@ Each stage takes the session, what its predecessor kept, and the data folder.
 All but the last return the columns of ``documents``; the last returns pieces of
 sequences with their token ids. ``run`` writes each stage as Parquet in the
 shared folder and reads it again, so a lost executor costs one stage at most.
+
+Defined cases are those of the operators: a null text is empty and so has too few
+words; a null id is larger than any; of copies, near copies and repeated rows one
+stays; an empty table gives an empty result; further columns pass through all but
+the last stage, whatever their names.
 """
 
 from __future__ import annotations
