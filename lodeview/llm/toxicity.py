@@ -239,7 +239,7 @@ def vocabulary_of(hashes: np.ndarray, ids: np.ndarray, mask: np.ndarray, y: np.n
 
 
 def train(
-    texts: list[str], document: np.ndarray, y: np.ndarray, *, epochs: int = 8, least_steps: int = 320, batch: int = 256, rate: float = 0.02, decay: float = 1e-3, negatives: int = 3, seed: int = 7
+    texts: list[str], document: np.ndarray, y: np.ndarray, *, epochs: int = 8, least_steps: int = 320, batch: int = 256, rate: float = 0.02, decay: float = 1e-3, negatives: int = 6, seed: int = 7
 ) -> Weights | None:
     """Fit to windows; ``document`` numbers each window's document, ``y`` is that document's label.
 
