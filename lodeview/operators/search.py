@@ -37,6 +37,11 @@ def like_any(q: Question, *columns: Column) -> Column:
     return reduce(or_, tests, F.lit(False))
 
 
+def _one(lists: DataFrame) -> DataFrame:
+    """Lists that each end in a limit, in one partition: what follows needs no exchange. Never for what reads a table without one."""
+    return lists.coalesce(1)
+
+
 def _top(rows: DataFrame, n: int, newest: str) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(newest), "id").limit(n)
 
@@ -57,7 +62,7 @@ def path_candidates(files: DataFrame, q: Question) -> DataFrame:
 def file_candidates(files: DataFrame, q: Question) -> DataFrame:
     """Names, then paths; the first row of an id counts."""
     both = _ranked(name_candidates(files, q), "modified_at", 0).unionByName(_ranked(path_candidates(files, q), "modified_at", 1))
-    return both.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("phase"))).filter("nth = 1").drop("nth")
+    return _one(both).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("phase"))).filter("nth = 1").drop("nth")
 
 
 def repo_candidates(repos: DataFrame, q: Question) -> DataFrame:
@@ -97,7 +102,7 @@ def text_candidates(postings: DataFrame, q: Question) -> DataFrame:
     found = text_matches(postings, q)
     strict, loose = found.filter("strict").orderBy("seq").limit(TEXT_CAP), found.withColumn("strict", F.lit(False)).orderBy("seq").limit(TEXT_CAP)
     key = Window.partitionBy(*KEY).orderBy(F.desc("strict"), "seq")
-    kept = strict.unionByName(loose).withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
+    kept = _one(strict.unionByName(loose)).withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("strict"), "seq")))  # 60 rows at most
 
 
@@ -189,7 +194,7 @@ def merge_text(base: DataFrame, texts: DataFrame, files: DataFrame, repos: DataF
     about_files = files.select(F.col("id").alias("source_id"), F.col("path").alias("p"), F.col("name").alias("t"), F.col("modified_at").alias("m")).join(of("file"), "source_id")
     about_repos = repos.select(F.col("id").alias("source_id"), F.col("root_path").alias("p"), F.col("repo_name").alias("t"), F.col("last_commit_at").alias("m")).join(of("repo"), "source_id")
     found = about_files.unionByName(about_repos).limit(2 * TEXT_CAP)
-    met = base.join(found, F.col("result_id") == F.col("source_id"), "full_outer")
+    met = _one(base).join(_one(found), F.col("result_id") == F.col("source_id"), "full_outer")
     repo = F.col("source_type") == "repo"
     own = F.when(repo, 135 + S.path_quality(F.col("p"), True)).otherwise(125 + S.path_quality(F.col("p")))
     new = F.col("result_id").isNull()
@@ -218,7 +223,7 @@ def fuzzy_results(files: DataFrame, repos: DataFrame, q: Question) -> DataFrame:
         (72 + S.half_up(F.col("similarity") * 55) + S.path_quality(F.col("root_path"), True)).cast("int").alias("score"), F.col("last_commit_at").alias("last_modified"), "phase", "place",
         F.concat(F.lit("Matched similar repo name ("), percent, F.lit("similarity)"), remote).alias("reason"),
     )
-    return of_files.unionByName(of_repos)
+    return _one(of_files.unionByName(of_repos))
 
 
 def find(
@@ -236,7 +241,7 @@ def find(
     base = file_results(files, q).unionByName(repo_results(repos, q))
     named = merge_text(base, texts, files, repos, q)
     # each id once: a result by name or text before one by similarity
-    every = named.unionByName(fuzzy_results(files, repos, q).select(*_RESULT))
+    every = _one(named.unionByName(fuzzy_results(files, repos, q).select(*_RESULT)))
     every = every.withColumn("nth", F.row_number().over(Window.partitionBy("result_id").orderBy(F.col("phase") > 3, "phase"))).filter("nth = 1").drop("nth")
     tests = [F.lit(bool(q.text))] + [F.col("result_type").isin(list(kinds))] * bool(kinds) + [F.startswith("path", F.lit(path_prefix))] * (path_prefix is not None) + [F.col("last_modified") >= since] * (since is not None)
     best = every.filter(reduce(and_, tests)).orderBy(F.desc("score"), "phase", "place").limit(max(0, min(RESULTS, limit)))
