@@ -21,14 +21,18 @@ representatives that are not in one group yet:
   by level, each level in the same way;
 * later turns pair the members of large buckets that still hold several groups
   with other leaders, as long as at least one in WORTH of the pairs with leaders
-  that were compared in the turn before was a link.
+  that were compared in the turn before was a link;
+* the last step compares what is left: all pairs of different groups in each large
+  bucket, in blocks of about SIDE members. So no pair that meets in a bucket is
+  passed over, whatever the bucket's size; leaders only save comparisons.
 
 Members stay in their buckets throughout, also those linked already. A turn makes
-rows in proportion to the representatives, never to the pairs of a bucket. Word
-counts and histograms of words, which bound the edit distance from below, rule
-out pairs before texts are read.
+rows in proportion to the representatives, never to the pairs of a bucket; the last
+step's arithmetic grows with the pairs that are left, its rows with the pairs that
+may be links. Word counts and histograms of words, which bound the edit distance
+from below, rule out pairs before texts are read.
 
-Like any hashing scheme it can miss. Edits scattered over a share of 0.2 of the
+Like any hashing scheme it can miss texts that meet in no bucket. Edits scattered over a share of 0.2 of the
 words leave about a fifth of five-word k-mers in common; the module's tests
 measure what is found, also where all texts share a passage. Texts under five
 words are one k-mer each and so match as copies only.
@@ -67,6 +71,10 @@ BLOCK = 4096
 LEADERS = 4
 #: Turns go on while one in so many pairs with leaders that are compared links.
 WORTH = 50
+#: Bins of the histograms of members of large buckets; a multiple of BINS.
+FINE = 1024
+#: Members of a block of a large bucket, about.
+SIDE = 2048
 
 
 def labelled_kmers(row: np.ndarray, hashes: np.ndarray, rows: int, k: int = WORDS_PER_KMER) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +228,150 @@ def later_pairs(large: DataFrame, roots: DataFrame, *, turn: int, similarity: fl
     return _stars(_open(materialize(rows, f"large-{turn}"), turn, "later", LEADERS), similarity).distinct().withColumn("star", F.lit(True))
 
 
+def _fine(members: DataFrame) -> DataFrame:
+    """members (rid, n, root, keys, text) with a histogram of words, ``fine``, in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in pieces(batches, "text"):
+            w = words(data, offsets)
+            n = rows.num_rows
+            bins = np.minimum(np.bincount(w.row * FINE + (w.hashes() % U(FINE)).astype(np.int64), minlength=n * FINE), 255).astype(np.uint8)
+            ends = np.arange(0, n * FINE + 1, FINE, dtype=np.int32)
+            held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(bins)])
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(4)), held], ["rid", "n", "root", "keys", "fine"])
+
+    return members.mapInArrow(run, "rid long, n int, root long, keys array<long>, fine binary")
+
+
+class _Block:
+    """Members of a bucket, by word count: rid, n, root, keys below the bucket's with the member of each, histograms and coarse ones."""
+
+    def __init__(self, members: pa.StructArray, key: int):
+        field = dict(zip(("rid", "n", "root", "keys", "fine"), members.flatten(), strict=True))
+        n = field["n"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        self.n = n[order].astype(np.int64)
+        self.rid, self.root = (field[x].to_numpy()[order] for x in ("rid", "root"))
+        self.fine = np.frombuffer(b"".join(field["fine"].to_pylist()), np.uint8).reshape(-1, FINE)[order]
+        # bins of the same remainder; a count that stops at 255 stays a bound
+        self.coarse = np.minimum(self.fine.reshape(len(n), -1, BINS).sum(1, dtype=np.int64), 255).astype(np.uint8)
+        place = np.empty(len(n), np.int64)
+        place[order] = np.arange(len(n))
+        keys, owner = field["keys"].flatten().to_numpy(), np.repeat(place, field["keys"].value_lengths().to_numpy())
+        self.keys, self.owner = keys[keys < key], owner[keys < key]
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+
+def _met_before(x: _Block, y: _Block) -> np.ndarray:
+    """For each member of x and of y, whether they share a bucket with a smaller key, which has the pair."""
+    out = np.zeros((len(x), len(y)), bool)
+    shared = np.intersect1d(x.keys, y.keys)
+    for at in range(0, len(shared), 1024):
+        some, sides = shared[at : at + 1024], []
+        for side in (x, y):
+            has = np.isin(side.keys, some)
+            holds = np.zeros((len(side), len(some)), np.float32)
+            holds[side.owner[has], np.searchsorted(some, side.keys[has])] = 1
+            sides.append(holds)
+        out |= sides[0] @ sides[1].T > 0
+    return out
+
+
+def _least(x: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """What the larger histogram has over the other, from the sums of both and of what they have in common."""
+    return np.maximum(x, y) - common
+
+
+def _block_pairs(x: _Block, y: _Block, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y of the pairs of different groups that meet here first and that histograms don't rule out; x and y may be one block."""
+    before, found = _met_before(x, y), [np.zeros((2, 0), np.int64)]
+    sums = [(b.coarse.sum(1, dtype=np.int64), b.fine.sum(1, dtype=np.int64)) for b in (x, y)]
+    columns = np.ascontiguousarray(y.coarse.T)
+    for i in range(0, len(x), 256):
+        a = slice(i, min(i + 256, len(x)))
+        # a little wider than word counts allow, the exact rule follows
+        low, high = np.searchsorted(y.n, [similarity * x.n[a][0] - 1, (x.n[a][-1] + 1) / similarity + 1])
+        for j in range(max(low, i) if x is y else low, high, 1024):
+            b = slice(j, min(j + 1024, high))
+            longer = np.maximum(x.n[a][:, None], y.n[b])
+            most = np.floor((1 - similarity) * longer + 1e-9)
+            open_ = (x.root[a][:, None] != y.root[b]) & (np.abs(x.n[a][:, None] - y.n[b]) <= most) & ~before[a, b]
+            if x is y:
+                open_ &= np.arange(a.start, a.stop)[:, None] < np.arange(b.start, b.stop)
+            if not open_.any():
+                continue
+            common = np.zeros(open_.shape, np.uint16)  # BINS x 255 at most
+            for k in range(BINS):
+                common += np.minimum(x.coarse[a, k][:, None], columns[k, b])
+            p, q = np.nonzero(open_ & (_least(sums[0][0][a][:, None], sums[1][0][b], common) <= most))
+            for at in range(0, len(p), 4096):
+                r, s = p[at : at + 4096], q[at : at + 4096]
+                both = np.minimum(x.fine[a][r], y.fine[b][s]).sum(1, dtype=np.int64)
+                keep = _least(sums[0][1][a][r], sums[1][1][b][s], both) <= most[r, s]
+                found.append(np.stack([r[keep] + a.start, s[keep] + b.start]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def rest_pairs(large: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame, *, similarity: float) -> DataFrame | None:
+    """(a, b, star) of all members of different groups in large buckets that histograms don't rule out; None if each bucket is one group.
+
+    A bucket of more than SIDE members is cut by word count into classes, of which a text and its near copies are in the
+    same or in adjacent ones, and a class by hash into parts. Each two parts meet in a row of their own. A pair that
+    shares several buckets is given by the one with the smallest key.
+    """
+    rows = large.join(roots.withColumnRenamed("id", "r"), F.col("rid") == F.col("r"), "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("root"))
+    rows = materialize(rows, "rest")
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(F.col("key").alias("k"), "size"), "rest-buckets")
+    if sizes.isEmpty():
+        return None
+    by_length = F.floor(F.log("n") / float(np.log(1.01 / similarity)))
+    rows = materialize(rows.join(sizes, F.col("key") == F.col("k")).select("key", "rid", "n", "root", F.when(F.col("size") > SIDE, by_length).otherwise(0).alias("class")), "rest-open")
+
+    members = rows.groupBy("rid").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_list("key").alias("keys"))  # ``tables`` keys at most
+    at = members.join(reps.select(F.col("rid").alias("r"), F.col("id").alias("i"), F.col("th").alias("t")), F.col("rid") == F.col("r")).select("rid", "n", "root", "keys", "i", "t")
+    at = materialize(at, "rest-members")
+    fine = materialize(_fine(at.join(texts, F.col("i").eqNullSafe(F.col("id")) & (F.col("t") == F.col("th"))).select("rid", "n", "root", "keys", "text")), "rest-histograms")
+
+    # numbers of parts of a class, of the one above and of the one below
+    parts = materialize(rows.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("parts"), F.count(F.lit(1)).alias("held")), "rest-parts")
+    near_by = [parts.select("key", (F.col("class") - i).alias("class"), "parts", "held", F.lit(i).alias("of")) for i in (0, 1, -1)]
+    counts = [F.coalesce(F.max(F.when(F.col("of") == i, F.col("parts"))), F.lit(0)).alias(name) for i, name in ((0, "parts"), (1, "above"), (-1, "below"))]
+    near_by = reduce(DataFrame.union, near_by).groupBy("key", "class").agg(*counts, F.max(F.when(F.col("of") == 0, F.col("held"))).alias("held")).filter("parts > 0")
+    near_by = materialize(near_by.select(F.col("key").alias("k"), F.col("class").alias("c"), "parts", "above", "below", "held"), "rest-classes")
+    copies = near_by.agg(F.sum(F.col("held") * (F.col("parts") + F.col("above") + F.col("below")))).first()[0]
+    tasks = 1 + copies // 8192  # of some 10 MB: what a worker gets at once
+    placed = rows.join(near_by, (F.col("key") == F.col("k")) & (F.col("class") == F.col("c"))).select("key", "class", "parts", "above", "below", F.pmod(F.xxhash64("rid", "key"), F.col("parts")).alias("part"), "rid")
+    placed = placed.join(fine.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"))
+    blocks = placed.groupBy("key", "class", "parts", "above", "below", "part").agg(F.collect_list(F.struct("rid", "n", "root", "keys", "fine")).alias("members"))  # about SIDE
+
+    def upto(first: Column, end: Column) -> Column:
+        return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<long>"))
+
+    def task(lower: Column | str, up: int, one: Column, two: Column) -> Column:
+        return F.struct(F.col("key").alias("key"), lower.cast("long").alias("class"), F.lit(up).alias("up"), one.cast("long").alias("one"), two.cast("long").alias("two"))
+
+    part, class_ = F.col("part"), F.col("class")
+    left = F.concat(F.transform(upto(part, F.col("parts")), lambda x: task(class_, 0, part, x)), F.transform(upto(F.lit(0).cast("long"), F.col("above")), lambda x: task(class_, 1, part, x)))
+    right = F.concat(F.transform(upto(F.lit(0).cast("long"), part), lambda x: task(class_, 0, x, part)), F.transform(upto(F.lit(0).cast("long"), F.col("below")), lambda x: task(class_ - 1, 1, x, part)))
+    lefts = blocks.select(F.explode(left).alias("task"), F.col("members").alias("left")).select("task.key", "task", "left").repartition(tasks, "task")
+    rights = blocks.select(F.explode(right).alias("with"), F.col("members").alias("right")).repartition(tasks, "with")
+    met = lefts.join(rights, F.col("task") == F.col("with"), "left").select("key", "left", "right")  # a part with itself has no right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = batch.column(0)[i].as_py()
+                x = _Block(batch.column(1)[i].values, key)
+                y = _Block(batch.column(2)[i].values, key) if batch.column(2)[i].is_valid else x
+                p, q = _block_pairs(x, y, similarity)
+                a, b = x.rid[p], y.rid[q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), bool))], ["a", "b", "star"])
+
+    return met.mapInArrow(run, "a long, b long, star boolean")
+
+
 def possible(pairs: DataFrame, reps: DataFrame, *, similarity: float) -> DataFrame:
     """The pairs (a, b, star) that histograms of reps don't rule out, with where their texts are: (ia, ta), (ib, tb).
 
@@ -426,7 +578,7 @@ def _grouped(docs: DataFrame, *, id_col: str, text_col: str, similarity: float,
     repeated = not rows.groupBy("id", "th").count().filter("count > 1").isEmpty()
     texts = keyed.dropDuplicates(["id", "th"]) if repeated else keyed
 
-    def linked(pairs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    def linked(pairs: DataFrame, turn: int | str) -> tuple[DataFrame, DataFrame]:
         left = materialize(possible(pairs, reps, similarity=similarity), f"candidates-{turn}")
         return materialize(verified(left, texts, similarity=similarity), f"near-links-{turn}"), left
 
@@ -441,6 +593,10 @@ def _grouped(docs: DataFrame, *, id_col: str, text_col: str, similarity: float,
             break
         turn += 1
         links, compared = linked(later_pairs(large, roots, turn=turn, similarity=similarity), turn)
+    rest = rest_pairs(large, roots, reps, texts, similarity=similarity)
+    if rest is not None:
+        links, _ = linked(rest, "rest")
+        roots = joined(roots, links, turn + 1)
     rooted = classes.select("rid", "d1", "d2", "copy").join(roots.withColumnRenamed("id", "r"), F.col("rid") == F.col("r"), "left")
     rooted = materialize(rooted.select("d1", "d2", "copy", F.coalesce("root", "rid").alias("root")), "rooted")
     names = materialize(rooted.groupBy("root").agg(F.min("copy").alias("group")).withColumnRenamed("root", "r"), "names")

@@ -285,6 +285,44 @@ def test_links_under_a_shared_passage(spark, changed, least):
     assert all(got[i] == i for i in range(0, 300, 2))
 
 
+def _by_buckets(spark, texts, similarity=0.8):
+    """Groups by the links among all pairs that share the smallest k-mer of a table, compared one by one."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r["id"]: r["keys"] for r in near.sketched(near._keyed(docs, "doc_id", "text"), tables=32, sample=2).select("id", "keys").collect()}
+    raw = [t.encode() for t in texts]
+    w = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    h = w.hashes()
+    seq = [h[w.first[i] : w.first[i + 1]] for i in range(len(texts))]
+    held = np.array([keys[i] for i in range(len(texts))])
+    root = np.arange(len(texts))
+    for i in range(len(texts)):
+        for j in np.flatnonzero((held[:i] == held[i]).any(1)).tolist():
+            if root[i] != root[j] and near.similar(seq[i], seq[j], similarity):
+                a, b = sorted((root[i], root[j]))
+                root[root == b] = a
+    return docs, root.tolist()
+
+
+@pytest.mark.parametrize("side", [2048, 40])
+def test_no_pair_of_a_large_bucket_is_passed_over(spark, monkeypatch, side):
+    """Texts of many lengths that share a passage of four fifths: leaders meet few of the pairs that link."""
+    monkeypatch.setattr(near, "SIDE", side)
+    rng, texts = random.Random(15), []
+    for i in range(300):
+        own = [f"v{i}x{k}" for k in range(rng.randint(42, 60))]
+        passage = [f"p{k}" for k in range(rng.randint(150, 190))]
+        at = rng.randrange(len(own))
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+        if i % 2:
+            w = texts[-1].split(" ")
+            for k in rng.sample(range(len(w)), int(0.2 * len(w))):
+                w[k] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+    docs, root = _by_buckets(spark, texts)
+    got = {r["doc_id"]: r["group_id"] for r in near.groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == root and 100 < len(set(root)) < 450
+
+
 def _exhaustive(docs):
     """Group of each (id, word sequence) by comparing all pairs that histograms leave."""
     ids = [i for i, _ in docs]
