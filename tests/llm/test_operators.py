@@ -303,10 +303,8 @@ def _by_buckets(spark, texts, similarity=0.8):
     return docs, root.tolist()
 
 
-@pytest.mark.parametrize("side", [2048, 40])
-def test_no_pair_of_a_large_bucket_is_passed_over(spark, monkeypatch, side):
+def _under_one_passage():
     """Texts of many lengths that share a passage of four fifths: leaders meet few of the pairs that link."""
-    monkeypatch.setattr(near, "SIDE", side)
     rng, texts = random.Random(15), []
     for i in range(300):
         own = [f"v{i}x{k}" for k in range(rng.randint(42, 60))]
@@ -318,6 +316,13 @@ def test_no_pair_of_a_large_bucket_is_passed_over(spark, monkeypatch, side):
             for k in rng.sample(range(len(w)), int(0.2 * len(w))):
                 w[k] = f"x{rng.randrange(10**9)}"
             texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("side", [2048, 40])
+def test_no_pair_of_a_large_bucket_is_passed_over(spark, monkeypatch, side):
+    monkeypatch.setattr(near, "SIDE", side)
+    texts = _under_one_passage()
     docs, root = _by_buckets(spark, texts)
     got = {r["doc_id"]: r["group_id"] for r in near.groups(docs).collect()}
     assert [got[i] for i in range(len(texts))] == root and 100 < len(set(root)) < 450

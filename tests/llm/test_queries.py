@@ -7,6 +7,7 @@ import pytest
 
 from lodeview.llm import queries
 from tests.compare import DATA, same
+from tests.llm.test_operators import _by_buckets, _under_one_passage
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -54,3 +55,10 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert set(left[3]) <= set(left[2])
     pieces = corpus_pipeline.run(spark, str(odd)).collect()
     assert {str(r["doc_id"]) for r in pieces} == set(left[3])
+
+
+def test_pipeline_keeps_one_of_each_group_of_large_buckets(spark):
+    import corpus_pipeline
+
+    docs, root = _by_buckets(spark, _under_one_passage())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(root))
