@@ -157,6 +157,11 @@ _NAMES = f"SELECT *, 0 AS phase FROM (SELECT * FROM files WHERE {_like_sql('name
 _PATHS = f"SELECT *, 1 AS phase FROM (SELECT * FROM files WHERE {_like_sql('path', _Q.stems)} ORDER BY modified_at DESC NULLS LAST, id LIMIT 30)"
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of files, a projection of their table: what asks only of these builds no index."""
+    return corpus.files(spark, sf_dir)
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Files, repositories, texts and postings as the stored index has them."""
     t = corpus.stored(spark, sf_dir)
@@ -419,12 +424,12 @@ _RECENT = "SELECT id AS result_id, 'file' AS result_type, name AS title, path, '
 
 @_query(f"{_WITH} {_RECENT} ORDER BY modified_at DESC NULLS LAST, id LIMIT 20")
 def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.recent(_tables(spark, sf_dir)[0])
+    return search.recent(_files(spark, sf_dir))
 
 
 @_query(f"{_WITH} {_RECENT} WHERE modified_at >= '2026-06-01T00:00:00Z' ORDER BY modified_at DESC NULLS LAST, id LIMIT 100")
 def recent_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.recent(_tables(spark, sf_dir)[0], "2026-06-01T00:00:00Z", 500)
+    return search.recent(_files(spark, sf_dir), "2026-06-01T00:00:00Z", 500)
 
 
 @_query()

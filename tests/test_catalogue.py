@@ -5,6 +5,7 @@ import os
 import pytest
 
 from lodeview import catalogue
+from lodeview.plans import corpus
 from tests.compare import DATA, same
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -20,6 +21,17 @@ def test_runs(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", ["recent_files", "recent_since"])
+def test_files_alone_need_no_index(spark, monkeypatch, name):
+    """What asks only of files neither splits texts into words nor writes anything."""
+
+    def fail(*_):
+        raise AssertionError("an index is written")
+
+    monkeypatch.setattr(corpus, "private_folder", fail)
+    same(catalogue.queries()[name](spark, DATA + "/"), catalogue.oracle_sql()[name])  # a folder by another name: no index is there yet
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
