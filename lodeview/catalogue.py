@@ -170,22 +170,22 @@ def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 @_query(f"{_WITH} SELECT id, name FROM ({_NAMES})")
 def name_like_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.name_candidates(_tables(spark, sf_dir)[0], _Q).select("id", "name")
+    return search.name_candidates(_files(spark, sf_dir), _Q).select("id", "name")
 
 
 @_query(f"{_WITH} SELECT id, path FROM ({_PATHS})")
 def path_like_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.path_candidates(_tables(spark, sf_dir)[0], _Q).select("id", "path")
+    return search.path_candidates(_files(spark, sf_dir), _Q).select("id", "path")
 
 
 @_query(f"{_WITH} SELECT id, min(phase)::INTEGER AS phase FROM ({_NAMES} UNION ALL {_PATHS}) GROUP BY id")
 def candidate_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.file_candidates(_tables(spark, sf_dir)[0], _Q).select("id", "phase")
+    return search.file_candidates(_files(spark, sf_dir), _Q).select("id", "phase")
 
 
 @_query(f"""{_WITH} SELECT id, repo_name FROM repos WHERE {_like_sql('repo_name', _Q.stems)} OR {_like_sql("coalesce(remote_url, '')", _Q.stems)} OR {_like_sql('root_path', _Q.stems)} ORDER BY last_commit_at DESC NULLS LAST, id LIMIT 25""")
 def repo_like_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.repo_candidates(_tables(spark, sf_dir)[1], _Q).select("id", "repo_name")
+    return search.repo_candidates(corpus.repos(spark, sf_dir), _Q).select("id", "repo_name")
 
 
 _T = analyse("than erings")
@@ -332,7 +332,7 @@ _F = analyse("biling portl")
 
 @_query(f"{_WITH} SELECT id, round(similarity, 6) AS similarity FROM (SELECT id, {_similar_sql(_F, 'name')} AS similarity FROM (SELECT * FROM files ORDER BY modified_at DESC NULLS LAST, id LIMIT 5000)) WHERE similarity >= 0.72")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuzzy_files(_tables(spark, sf_dir)[0], _F).select("id", F.round("similarity", 6).alias("similarity"))
+    return search.fuzzy_files(_files(spark, sf_dir), _F).select("id", F.round("similarity", 6).alias("similarity"))
 
 
 # -- the whole search -------------------------------------------------------------------------------------

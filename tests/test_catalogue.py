@@ -21,7 +21,7 @@ def test_runs(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
 
 
-@pytest.mark.parametrize("name", ["recent_files", "recent_since"])
+@pytest.mark.parametrize("name", ["recent_files", "recent_since", "name_like_topk", "path_like_topk", "candidate_union_dedupe", "repo_like_topk", "fuzzy_names"])
 def test_files_alone_need_no_index(spark, monkeypatch, name):
     """What asks only of files neither splits texts into words nor writes anything."""
 
