@@ -162,10 +162,14 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.files(spark, sf_dir)
 
 
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored inverted index."""
+    return corpus.stored(spark, sf_dir).read("postings")
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Files, repositories, texts and postings as the stored index has them."""
-    t = corpus.stored(spark, sf_dir)
-    return [t.read(name) for name in ("file_records", "repo_records", "text_blobs", "postings")]
+    """Files, repositories and texts."""
+    return [corpus.files(spark, sf_dir), corpus.repos(spark, sf_dir), corpus.texts(spark, sf_dir)]
 
 
 @_query(f"{_WITH} SELECT id, name FROM ({_NAMES})")
@@ -198,17 +202,17 @@ _LOOSE = f"SELECT *, false AS strict FROM (SELECT * FROM blobs WHERE {' OR '.joi
 
 @_query(f"{_WITH} SELECT source_id, extractor_type, seq FROM ({_LOOSE})")
 def fts_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_matches(_tables(spark, sf_dir)[3], _T).orderBy("seq").limit(search.TEXT_CAP).select("source_id", "extractor_type", "seq")
+    return search.with_sources(search.text_matches(_postings(spark, sf_dir), _T).orderBy("seq").limit(search.TEXT_CAP), corpus.texts(spark, sf_dir)).select("source_id", "extractor_type", "seq")
 
 
 @_query(f"{_WITH} SELECT source_id, extractor_type, seq FROM ({_STRICT})")
 def fts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_matches(_tables(spark, sf_dir)[3], _T).filter("strict").orderBy("seq").limit(search.TEXT_CAP).select("source_id", "extractor_type", "seq")
+    return search.with_sources(search.text_matches(_postings(spark, sf_dir), _T).filter("strict").orderBy("seq").limit(search.TEXT_CAP), corpus.texts(spark, sf_dir)).select("source_id", "extractor_type", "seq")
 
 
 @_query(f"{_WITH} SELECT source_id, extractor_type, bool_or(strict) AS strict FROM ({_STRICT} UNION ALL {_LOOSE}) GROUP BY source_id, source_type, extractor_type")
 def fts_strict_then_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_candidates(_tables(spark, sf_dir)[3], _T).select("source_id", "extractor_type", "strict")
+    return search.with_sources(search.text_candidates(_postings(spark, sf_dir), _T), corpus.texts(spark, sf_dir)).select("source_id", "extractor_type", "strict")
 
 
 def _term_sql(term: list[str]) -> str:
@@ -229,7 +233,7 @@ def _many_sql() -> str:
 @_query(_many_sql())
 def fts_many_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many questions, one of them with a phrase, in one job."""
-    return search.text_candidates_of_many(_tables(spark, sf_dir)[3], list(MANY)).select("question", "source_id", "extractor_type", "strict")
+    return search.with_sources(search.text_candidates_of_many(_postings(spark, sf_dir), list(MANY)), corpus.texts(spark, sf_dir)).select("question", "source_id", "extractor_type", "strict")
 
 
 _PREFIXES = ("tha", "erin", "ver", "que", "mento")
@@ -240,8 +244,8 @@ _PREFIXES = ("tha", "erin", "ver", "que", "mento")
 def prefix_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many prefixes in one job, through the inverted index."""
     asked = spark.createDataFrame([(p,) for p in _PREFIXES], "prefix string")
-    hit = index.prefix_lookup(_tables(spark, sf_dir)[3], asked)
-    return hit.groupBy("prefix").agg(F.countDistinct("source_id").alias("n_texts"), F.sum(F.size("places")).alias("n_places"))
+    hit = index.prefix_lookup(_postings(spark, sf_dir), asked)
+    return hit.groupBy("prefix").agg(F.countDistinct(*index.PLACE).alias("n_texts"), F.sum(F.size("places")).alias("n_places"))
 
 
 # -- scores ---------------------------------------------------------------------------------------------------
@@ -378,7 +382,7 @@ def _find_sql(question: str, where: str = "true", limit: int = 10) -> str:
 
 
 def _find(question: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, r, b, p = _tables(spark, sf_dir)
+    (f, r, b), p = _tables(spark, sf_dir), _postings(spark, sf_dir)
     return search.find(f, r, b, question, postings=p, snippets=False).drop("why_matched")
 
 
@@ -389,7 +393,7 @@ for _name, _question in FIND.items():
 
 @_query(_find_sql(ASKED, "result_type = 'file' AND starts_with(path, '/home/u/work') AND last_modified >= '2026-03-01'", 5))
 def find_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, r, b, p = _tables(spark, sf_dir)
+    (f, r, b), p = _tables(spark, sf_dir), _postings(spark, sf_dir)
     found = search.find(f, r, b, ASKED, postings=p, snippets=False, kinds=["file"], path_prefix="/home/u/work", since="2026-03-01", limit=5)
     return found.drop("why_matched")
 
@@ -397,14 +401,14 @@ def find_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def find_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search with reasons and snippets; tests hold snippets against those of SQLite's full-text engine."""
-    f, r, b, p = _tables(spark, sf_dir)
+    (f, r, b), p = _tables(spark, sf_dir), _postings(spark, sf_dir)
     return search.find(f, r, b, "than ering enter", postings=p)
 
 
 @_query(f"""{_WITH} SELECT source_id, count(*)::BIGINT AS n_hits, (sum(CASE WHEN strict THEN 24 ELSE 0 END) + 35 * count(*))::BIGINT AS points FROM
     (SELECT source_id, bool_or(strict) AS strict FROM ({_STRICT} UNION ALL {_LOOSE}) GROUP BY source_id, source_type, extractor_type) GROUP BY source_id""")
 def text_hit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = search.text_candidates(_tables(spark, sf_dir)[3], _T)
+    t = search.with_sources(search.text_candidates(_postings(spark, sf_dir), _T), corpus.texts(spark, sf_dir))
     return t.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_hits"), (F.sum(F.when(F.col("strict"), min(12 * len(_T.words), 70)).otherwise(0)) + 35 * F.count(F.lit(1))).alias("points"))
 
 
@@ -415,7 +419,7 @@ _ONE = "/home/u/Downloads/budget_notes-1.txt"
 def record_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     import hashlib
 
-    one = search.get_record(*_tables(spark, sf_dir)[:3], hashlib.sha1(_ONE.encode()).hexdigest())
+    one = search.get_record(*_tables(spark, sf_dir), hashlib.sha1(_ONE.encode()).hexdigest())
     return one.select("kind", "id", "path", "name", "modified_at", F.inline("blobs"))
 
 
@@ -434,8 +438,7 @@ def recent_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, b, p = _tables(spark, sf_dir)
-    return search.with_snippets(search.text_candidates(p, _T), b, _T).select("source_id", "extractor_type", "snippet")
+    return search.with_snippets(search.text_candidates(_postings(spark, sf_dir), _T), corpus.texts(spark, sf_dir), _T).select("source_id", "extractor_type", "snippet")
 
 
 # -- texts ----------------------------------------------------------------------------------------------------

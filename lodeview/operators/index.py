@@ -6,12 +6,16 @@ Tables are plain Parquet: a merge gives a new version of a table, which
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeview.functions.text import tokens, trim_space
 
 KEY = ["source_id", "source_type", "extractor_type"]
+#: What names a text in the inverted index: its place of insertion. Ids of sources, long and in no order there, are looked up for candidates only.
+PLACE = ["seq", "source_type", "extractor_type"]
 
 
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -184,8 +188,8 @@ def updated_postings(old: DataFrame, before: DataFrame, after: DataFrame) -> Dat
     """The index after texts changed from one version of the blobs to another: only those that changed are split into tokens."""
     same = [*KEY, "seq", "content"]
     fresh = after.join(before.select(*same), same, "left_anti")
-    left = old.join(before.select(*same).join(after.select(*same), same, "left_anti").select(*KEY, "seq"), [*KEY, "seq"], "left_anti")
-    every = left.select("token", "seq", *KEY, "places").unionByName(postings(fresh).select("token", "seq", *KEY, "places"))
+    left = old.join(before.select(*same).join(after.select(*same), same, "left_anti").select(*PLACE), PLACE, "left_anti")
+    every = left.select("token", *PLACE, "places").unionByName(postings(fresh))
     return every.repartitionByRange("token", "seq").sortWithinPartitions("token", "seq")
 
 
@@ -198,21 +202,34 @@ def debounce_gaps(events: DataFrame, gap_ms: int = 250) -> DataFrame:
     return burst.groupBy("path", "burst").agg(F.when(last == "unlink", "delete").otherwise("upsert").alias("job"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count(F.lit(1)).alias("n_events"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _by_token(words: Column) -> Column:
+    """Structs (token, places) of a text's words: pairs are sorted, and each run of a token becomes one struct."""
+
+    def runs(pairs: Column) -> Column:
+        first = F.filter(F.transform(pairs, lambda p, i: F.when((i == 0) | (p["token"] != F.get(pairs, i - 1)["token"]), i)), lambda i: i.isNotNull())
+        run = lambda at: lambda s, j: F.slice(pairs, s + 1, F.coalesce(F.get(at, j + 1), F.size(pairs)) - s)
+        made = lambda at: F.transform(at, lambda s, j: F.struct(F.get(pairs, s)["token"].alias("token"), F.transform(run(at)(s, j), lambda p: p["place"]).alias("places")))
+        return _let(first, made)
+
+    return _let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("place")))), runs)
+
+
 def postings(blobs: DataFrame) -> DataFrame:
-    """The inverted index (token, seq, source key, places), in order of token and insertion.
+    """The inverted index (token, place of insertion, places), in order of token and insertion.
 
-    Rows are dealt by ranges of token and place of insertion, so that a frequent token is shared by several tasks; the
-    aggregation needs no exchange of its own.
+    A text's words are brought together by token within its row, so that one row for each token of a text is exchanged.
+    Rows are dealt by ranges of token and place of insertion, so that a frequent token is shared by several tasks.
     """
-    words = blobs.select(*KEY, "seq", F.posexplode(tokens(F.col("content"))).alias("place", "token")).repartitionByRange("token", "seq")
-    return words.groupBy("token", "seq", *KEY).agg(F.sort_array(F.collect_list("place")).alias("places")).sortWithinPartitions("token", "seq")  # bounded by the text's own words
+    words = blobs.select(*PLACE, F.inline(_by_token(tokens(F.col("content"))))).select("token", *PLACE, "places")
+    return words.repartitionByRange("token", "seq").sortWithinPartitions("token", "seq")
 
 
 def prefix_lookup(index: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Postings by prefix, for many prefixes at once: prefixes meet the vocabulary by their first two letters, then the index by token."""
-    head = F.substring("prefix", 1, 2)
-    long_, short = prefixes.filter(F.length("prefix") > 1), prefixes.filter(F.length("prefix") == 1)
-    vocabulary = index.select("token").distinct()
-    near = lambda of, n: vocabulary.withColumn("head", F.substring("token", 1, n)).join(of.withColumn("h", F.substring(head, 1, n)), F.col("head") == F.col("h"))
-    hit = near(long_, 2).union(near(short, 1)).filter(F.startswith("token", "prefix")).select(F.col("token").alias("t"), "prefix")
-    return index.join(hit, F.col("token") == F.col("t")).drop("t")
+    """Postings by prefix, for many prefixes at once. Prefixes are what was asked, whatever the index holds: they are broadcast, and no posting is exchanged."""
+    asked = prefixes.withColumn("h", F.substring("prefix", 1, 1))
+    return index.join(F.broadcast(asked), (F.substring("token", 1, 1) == F.col("h")) & F.startswith("token", "prefix")).drop("h")

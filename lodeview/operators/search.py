@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from lodeview.functions.snippet import snippet
 from lodeview.functions.text import ascii_lower
 from lodeview.operators import scoring as S
-from lodeview.operators.index import KEY, prefix_lookup
+from lodeview.operators.index import KEY, PLACE, prefix_lookup
 from lodeview.operators.index import postings as index_of
 from lodeview.plans.query import Question, analyse
 
 # How many candidates of each kind count.
 NAME_CAP, PATH_CAP, REPO_CAP, TEXT_CAP, FUZZY_FILES, FUZZY_REPOS, RESULTS = 150, 30, 25, 30, 5000, 1000, 10
 SIMILAR = 0.72
+#: Up to so many prefixes are pushed down to the scan of the index; more would only make its plan long.
+PUSHED = 64
 
 
 def like_any(q: Question, *columns: Column) -> Column:
@@ -87,44 +89,54 @@ def _holds(term: list[str]) -> Column:
 
 
 def text_matches(postings: DataFrame, q: Question) -> DataFrame:
-    """Texts (source key, seq) that hold any of the terms, and ``strict``: whether they hold all of two or more."""
+    """Texts (by place of insertion) that hold any of the terms, and ``strict``: whether they hold all of two or more."""
     terms = q.index_terms
     if not terms:
-        return postings.select(*KEY, "seq", F.lit(False).alias("strict")).limit(0)
+        return postings.select(*PLACE, F.lit(False).alias("strict")).limit(0)
     asked = postings.filter(reduce(or_, [_is(t, i) for t in terms for i in range(len(t))]))
-    held = asked.groupBy(*KEY, "seq").agg(*[_holds(t).alias(f"h{j}") for j, t in enumerate(terms)])
+    held = asked.groupBy(*PLACE).agg(*[_holds(t).alias(f"h{j}") for j, t in enumerate(terms)])
     flags = [F.col(f"h{j}") for j in range(len(terms))]
-    return held.filter(reduce(or_, flags)).select(*KEY, "seq", (reduce(and_, flags) & F.lit(len(terms) > 1)).alias("strict"))
+    return held.filter(reduce(or_, flags)).select(*PLACE, (reduce(and_, flags) & F.lit(len(terms) > 1)).alias("strict"))
 
 
 def text_candidates(postings: DataFrame, q: Question) -> DataFrame:
     """The first strict matches in the order of their insertion, then the first of all that aren't among them."""
     found = text_matches(postings, q)
     strict, loose = found.filter("strict").orderBy("seq").limit(TEXT_CAP), found.withColumn("strict", F.lit(False)).orderBy("seq").limit(TEXT_CAP)
-    key = Window.partitionBy(*KEY).orderBy(F.desc("strict"), "seq")
+    key = Window.partitionBy(*PLACE).orderBy(F.desc("strict"))
     kept = _one(strict.unionByName(loose)).withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("strict"), "seq")))  # 60 rows at most
 
 
 def text_candidates_of_many(postings: DataFrame, questions: list[str]) -> DataFrame:
-    """(question, source key, seq, strict, place) for many questions in one job.
+    """(question, place of insertion, strict, place) for many questions in one job.
 
-    All parts of all terms meet the vocabulary once and the index once; the caps are rank limits, which Spark applies
-    within each task before rows are exchanged.
+    The questions are broadcast to the index, of which only rows under their prefixes are read. Words count for a text as
+    bits, which tasks merge before rows are exchanged; the parts of phrases meet by their places. The caps are rank limits,
+    which Spark applies within each task too.
     """
     asked = {i: analyse(x).index_terms for i, x in enumerate(questions)}
     parts = [(i, j, k, len(terms), len(t), part, k == len(t) - 1) for i, terms in asked.items() for j, t in enumerate(terms) for k, part in enumerate(t)]
-    probes = postings.sparkSession.createDataFrame(parts, "question int, term int, part int, terms int, parts int, prefix string, last boolean")
-    met = prefix_lookup(postings, probes.select("prefix").distinct()).join(F.broadcast(probes.withColumnRenamed("prefix", "p")), F.col("prefix") == F.col("p"))
-    met = met.filter(F.col("last") | (F.col("token") == F.col("prefix")))
-    by_part = met.groupBy("question", "term", "terms", "parts", *KEY, "seq", "part").agg(F.flatten(F.collect_list(F.transform("places", lambda p: p - F.col("part")))).alias("starts"))
-    by_term = by_part.groupBy("question", "term", "terms", "parts", *KEY, "seq").agg(F.collect_list("starts").alias("all"))
+
+    def met(probes: list[tuple]) -> DataFrame:
+        prefixes = sorted({p[5] for p in probes})
+        read = postings.filter(reduce(or_, [F.startswith("token", F.lit(p)) for p in prefixes], F.lit(False))) if len(prefixes) <= PUSHED else postings
+        hit = prefix_lookup(read, postings.sparkSession.createDataFrame(probes, "question int, term int, part int, terms int, parts int, prefix string, last boolean"))
+        return hit.filter(F.col("last") | (F.col("token") == F.col("prefix")))
+
+    of = ["question", "terms", "term", *PLACE]
+    words, phrases = met([p for p in parts if p[4] == 1]).select(*of), met([p for p in parts if p[4] > 1]).repartition("question", "term", "seq")
+    by_part = phrases.groupBy(*of, "parts", "part").agg(F.flatten(F.collect_list(F.transform("places", lambda p: p - F.col("part")))).alias("starts"))
+    by_term = by_part.groupBy(*of, "parts").agg(F.collect_list("starts").alias("all"))
     common = F.aggregate(F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))), F.get("all", F.lit(0)), F.array_intersect)
-    held = by_term.filter((F.size("all") == F.col("parts")) & (F.size(common) > 0)).groupBy("question", "terms", *KEY, "seq").agg(F.count(F.lit(1)).alias("n"))
-    found = held.select("question", *KEY, "seq", ((F.col("n") == F.col("terms")) & (F.col("terms") > 1)).alias("strict"))
+    holds = words.unionByName(by_term.filter((F.size("all") == F.col("parts")) & (F.size(common) > 0)).select(*of))
+    firsts = range(0, max(map(len, asked.values()), default=0) or 1, 63)  # a number has room for 63 terms
+    bits = [F.bit_or(F.expr(f"CASE WHEN term >= {b} AND term < {b + 63} THEN shiftleft(1L, term - {b}) ELSE 0L END")).alias(f"b{b}") for b in firsts]
+    n = reduce(add, [F.bit_count(f"b{b}") for b in firsts])
+    found = holds.groupBy("question", "terms", *PLACE).agg(*bits).select("question", *PLACE, ((n == F.col("terms")) & (F.col("terms") > 1)).alias("strict"))
     by = Window.partitionBy("question").orderBy("seq")
     capped = [x.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= TEXT_CAP).drop("nth") for x in (found.filter("strict"), found.withColumn("strict", F.lit(False)))]
-    key = Window.partitionBy("question", *KEY).orderBy(F.desc("strict"), "seq")
+    key = Window.partitionBy("question", *PLACE).orderBy(F.desc("strict"))
     kept = capped[0].unionByName(capped[1]).withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("strict"), "seq")))
 
@@ -134,19 +146,29 @@ def _local(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(rows.toArrow())
 
 
+def _placed(rows: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A bounded list of candidates as a local relation, and the texts at their places of insertion."""
+    held = _local(rows)
+    return held, blobs.filter(F.col("seq").isin([r["seq"] for r in held.select("seq").distinct().collect()]))
+
+
+def with_sources(rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Candidates (a bounded list) with the ids of their sources; the texts themselves aren't read."""
+    held, texts = _placed(rows, blobs)
+    return held.join(F.broadcast(_local(texts.select(*KEY, "seq").distinct())), PLACE)
+
+
 def with_snippets(rows: DataFrame, blobs: DataFrame, q: Question) -> DataFrame:
-    """Candidates (60 at most) with the stretch of their text that shows a match best; texts are read by place of insertion."""
+    """Candidates (60 at most) with their sources and the stretch of their text that shows a match best; texts are read by place of insertion."""
     terms = q.index_terms
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(snippet=[snippet(c, terms) for c in b["content"]])[[*KEY, "snippet"]]
+            yield b.assign(snippet=[snippet(c, terms) for c in b["content"]])[[*KEY, "seq", "snippet"]]
 
-    held = _local(rows)
-    places = [r["seq"] for r in held.select("seq").collect()]
-    texts = blobs.filter(F.col("seq").isin(places)).select(*KEY, "content")
-    made = texts.mapInPandas(run, "source_id string, source_type string, extractor_type string, snippet string")
-    return held.join(F.broadcast(_local(made)), KEY)
+    held, texts = _placed(rows, blobs)
+    made = texts.select(*KEY, "seq", "content").mapInPandas(run, "source_id string, source_type string, extractor_type string, seq long, snippet string")
+    return held.join(F.broadcast(_local(made)), PLACE)
 
 
 def fuzzy_files(files: DataFrame, q: Question) -> DataFrame:
@@ -237,7 +259,7 @@ def find(
     """
     q = analyse(question)
     texts = text_candidates(index_of(blobs) if postings is None else postings, q)
-    texts = with_snippets(texts, blobs, q) if snippets else _local(texts).withColumn("snippet", F.lit(""))
+    texts = with_snippets(texts, blobs, q) if snippets else with_sources(texts, blobs).withColumn("snippet", F.lit(""))
     base = file_results(files, q).unionByName(repo_results(repos, q))
     named = merge_text(base, texts, files, repos, q)
     # each id once: a result by name or text before one by similarity

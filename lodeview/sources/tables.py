@@ -19,7 +19,7 @@ FILES = T.StructType([T.StructField(n, T.LongType() if n in ("size_bytes", "inod
 REPOS = T.StructType([T.StructField(n, T.StringType()) for n in "id root_path repo_name remote_url current_branch last_commit_at metadata_json".split()])
 BLOBS = T.StructType([T.StructField(n, T.LongType() if n == "seq" else T.StringType()) for n in "id source_id source_type extractor_type content created_at seq".split()])
 POSTINGS = T.StructType(
-    [T.StructField("token", T.StringType()), T.StructField("seq", T.LongType())] + [T.StructField(n, T.StringType()) for n in ("source_id", "source_type", "extractor_type")] + [T.StructField("places", T.ArrayType(T.IntegerType()))]
+    [T.StructField("token", T.StringType()), T.StructField("seq", T.LongType())] + [T.StructField(n, T.StringType()) for n in ("source_type", "extractor_type")] + [T.StructField("places", T.ArrayType(T.IntegerType()))]
 )
 SCHEMAS = {"file_records": FILES, "repo_records": REPOS, "text_blobs": BLOBS, "postings": POSTINGS}
 #: Pointers that are kept; what only older ones name is of no reader any more.

@@ -32,6 +32,17 @@ def test_files_alone_need_no_index(spark, monkeypatch, name):
     same(catalogue.queries()[name](spark, DATA + "/"), catalogue.oracle_sql()[name])  # a folder by another name: no index is there yet
 
 
+def test_texts_are_the_blobs(spark, tmp_path):
+    """Texts read without a join of the documents with themselves, also where numbers are repeated or missing."""
+    rows = [(1, "a b", "en", "s", 3), (2, None, "en", "s", None), (3, "", None, None, 0), (None, "x", "en", "s", 1), (14, "y", "en", "s", 1)]
+    spark.read.parquet(f"{DATA}/supplier.parquet").write.parquet(f"{tmp_path}/a/supplier.parquet")
+    spark.read.parquet(f"{DATA}/supplier.parquet").write.parquet(f"{tmp_path}/b/supplier.parquet")
+    for at, found in (("a", rows), ("b", [*rows, (1, "again", "en", "s", 5)])):
+        spark.createDataFrame(found, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        got, want = (sorted(map(repr, f(spark, f"{tmp_path}/{at}").collect())) for f in (corpus.texts, corpus.blobs))
+        assert got == want
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 

@@ -87,6 +87,29 @@ def test_phrases_accents_and_marks(spark):
     assert sorted((r["question"], r["seq"], r["strict"]) for r in many) == [(0, 0, False), (1, 0, True), (1, 1, True), (1, 2, False), (3, 3, False)]
 
 
+def test_index_rows_are_exchanged_once(spark):
+    """One row for each token of a text is exchanged, and none of the stored index where many prefixes or questions meet it."""
+    content = ["aa b " * 2000, "", "b aa c", None, "\u00e9 e"]
+    words = index.postings(spark.createDataFrame([(str(i), f"s{i}", "file", "text/plain", t, "c", i) for i, t in enumerate(content)], BLOBS))
+    got = {(r["token"], r["seq"]): r["places"] for r in words.collect()}
+    assert got == {("aa", 0): [*range(0, 4000, 2)], ("b", 0): [*range(1, 4000, 2)], ("b", 2): [0], ("aa", 2): [1], ("c", 2): [2], ("e", 4): [0, 1]}
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "explode" not in plan  # before: each occurrence was exchanged, with its source
+    hit = index.prefix_lookup(words, spark.createDataFrame([("a",), ("aa",), ("zz",)], "prefix string"))
+    assert sorted((r["prefix"], r["token"], r["seq"]) for r in hit.collect()) == [("a", "aa", 0), ("a", "aa", 2), ("aa", "aa", 0), ("aa", "aa", 2)]
+    assert "hashpartitioning(token" not in hit._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_questions_of_many_terms(spark):
+    """More terms than a number has bits, more prefixes than are pushed down, repeated words and phrases."""
+    names = [f"w{i:03d}" for i in range(100)]
+    texts = [" ".join(names), " ".join(names[:-1]), "w000 w001", "w001 w000"]
+    words = index.postings(spark.createDataFrame([(str(i), f"s{i}", "file", "text/plain", t, "c", i) for i, t in enumerate(texts)], BLOBS))
+    got = search.text_candidates_of_many(words, [" ".join(names), "w000-w001 w001", "w001-w000", "w000 w000"]).collect()
+    want = [(0, 0, True), (0, 1, False), (0, 2, False), (0, 3, False), (1, 0, True), (1, 1, True), (1, 2, True), (1, 3, False), (2, 3, False), *[(3, i, False) for i in range(4)]]
+    assert sorted((r["question"], r["seq"], r["strict"]) for r in got) == want
+
+
 def test_recent_order_and_since(spark):
     f = spark.createDataFrame([_file("/a.md", modified="2026-04-18T10:00:00Z"), _file("/b.md", modified="2026-04-19T10:00:00Z")], FILES)
     assert [r["path"] for r in search.recent(f, None, 5).collect()] == ["/b.md", "/a.md"]
